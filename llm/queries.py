@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
+from llm.quality import op9_quality
+from llm.toxicity import op10_toxicity
+from llm.warc import op7_warc
 
 QUERIES = {
+    "op4_multi_index": op4_multi_index,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
