@@ -54,6 +54,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors take nothing along."""
     path = f"{work_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # shuffle files of what is written now go when the driver collects garbage
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

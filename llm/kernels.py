@@ -107,6 +107,15 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_hash_of(s: np.ndarray) -> np.ndarray:
+    """As prefix_hash, of integers."""
+    p, _ = _tables(len(s) + 1)
+    out = np.zeros(len(s) + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(s.astype(U64) + U64(1)) * p[: len(s)], out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each raw[start:end]; equal strings give equal hashes wherever they lie."""
     _, q = _tables(len(prefix) + 1)
@@ -177,3 +186,50 @@ def set_digests(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(grams ^ U64(0x632BE59BD9B4E019)))])
         return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length in one binary value."""
+    return b"".join([np.uint64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack(data, dtypes: tuple) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(data, "<u8", 1)[0]), 8, []
+    for d in dtypes:
+        d = np.dtype(d)
+        out.append(np.frombuffer(data, d, n, at))
+        at += n * d.itemsize
+    return out
+
+
+def gather(values, dtypes: tuple) -> list[np.ndarray]:
+    """The rows of many packed values, end to end."""
+    parts = [unpack(v, dtypes) for v in values]
+    return [np.concatenate(x) if parts else np.zeros(0, d) for d, x in zip(dtypes, zip(*parts) if parts else [()] * len(dtypes))]
+
+
+class Dealer:
+    """Deals rows of arrays over numbered parts, as few packed values."""
+
+    def __init__(self, parts: int, most: int = 24 << 20):
+        self.parts, self.most, self.size = parts, most, 0
+        self.held: list[tuple[np.ndarray, tuple[np.ndarray, ...]]] = []
+
+    def add(self, part: np.ndarray, *arrays: np.ndarray):
+        """Yields (part, value) whenever enough is held."""
+        if len(part):
+            self.held.append((part, arrays))
+            self.size += sum(a.nbytes for a in arrays)
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self):
+        if self.held:
+            part = np.concatenate([p for p, _ in self.held])
+            arrays = [np.concatenate(x) for x in zip(*(a for _, a in self.held))]
+            order = np.argsort(part, kind="stable")
+            part, arrays = part[order], [a[order] for a in arrays]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                yield int(part[a]), pack(*(x[a:b] for x in arrays))
+        self.held, self.size = [], 0

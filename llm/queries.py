@@ -6,10 +6,12 @@ from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
 from llm.quality import op9_quality
+from llm.substrings import op2_suffix_dedup
 from llm.toxicity import op10_toxicity
 from llm.warc import op7_warc
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_multi_index": op4_multi_index,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
