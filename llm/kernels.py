@@ -151,34 +151,30 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndar
     h = word_hashes(raw, s, e)
     docs = len(offs) - 1
     count = np.diff(first)
+    size = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(at[-1]), dtype=U64)
     grams = ngram_hashes(h, n)
-    owner = np.repeat(np.arange(docs), np.maximum(count - n + 1, 0))
-    if len(grams):
-        within = np.ones(len(h), dtype=bool)
-        for k in range(1, n):  # a gram may not begin in the last n - 1 words of a document
-            last = first[1:] - k
-            within[last[(last >= first[:-1])]] = False
-        grams = grams[within[: len(grams)]]
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        extra = np.zeros(len(short), dtype=U64)
-        for k in range(1, n):
-            sel = count[short] == k
-            base = first[short[sel]]
-            x = h[base].copy()
+    whole = np.flatnonzero(count >= n)
+    if len(whole):
+        k = np.arange(int(size[whole].sum())) - np.repeat(np.cumsum(size[whole]) - size[whole], size[whole])
+        out[np.repeat(at[whole], size[whole]) + k] = grams[np.repeat(first[whole], size[whole]) + k]
+    for k in range(1, n):
+        short = np.flatnonzero(count == k)
+        if len(short):
+            x = h[first[short]].copy()
             with np.errstate(over="ignore"):
                 for j in range(1, k):
-                    x = mix(x * U64(0x9FB21C651E98DF25) + h[base + j])
-                extra[sel] = mix(x ^ U64(0xA5A5A5A500000000 + k))
-        grams = np.concatenate([grams, extra])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    if len(grams):
-        keep = np.ones(len(grams), dtype=bool)
-        keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-        grams, owner = grams[keep], owner[keep]
-    return grams, np.searchsorted(owner, np.arange(docs + 1))
+                    x = mix(x * U64(0x9FB21C651E98DF25) + h[first[short] + j])
+            out[at[short]] = mix(x ^ U64(0xA5A5A5A500000000 + k))
+    for a, b in zip(at[:-1][size > 1].tolist(), at[1:][size > 1].tolist()):
+        out[a:b].sort()
+    keep = np.ones(len(out), dtype=bool)
+    if len(out):
+        keep[1:] = out[1:] != out[:-1]
+        keep[at[:-1][size > 0]] = True
+    total = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], total[at]
 
 
 def set_digests(grams: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
+from llm.jaccard import op1_ngram_jaccard
 from llm.quality import op9_quality
 from llm.substrings import op2_suffix_dedup
 from llm.toxicity import op10_toxicity
 from llm.warc import op7_warc
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_multi_index": op4_multi_index,
     "op6_bpe": op6_bpe,
