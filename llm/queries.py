@@ -6,6 +6,7 @@ from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
 from llm.jaccard import op1_ngram_jaccard
+from llm.pitman_yor import op5_pitman_yor
 from llm.quality import op9_quality
 from llm.substrings import op2_suffix_dedup
 from llm.toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_multi_index": op4_multi_index,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
