@@ -157,7 +157,7 @@ def _search(it: Iterator[pa.RecordBatch], index: Index, names: list[str]) -> Ite
                 items.append(sorted({t for w in np.unique(win[a:b]) for t in index.items[w]}))
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string())), *part.columns[2:]],
+                [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 names,
             )
 
@@ -185,21 +185,23 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple
         yield block
 
 
-def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_words, spans (array of word ranges a to b, merged), items (sorted array), and ``keep``."""
-    ship(spark)
-    source = docs.select("doc_id", "text", *keep)
-    names = ["doc_id", "n_words", "spans", "items", *keep]
-    kept = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<a: long, b: long>>, items array<string>{kept}"
-    found = []
+def _indexes(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block: int) -> Iterator:
+    """A broadcast index of each block of items, its prefixes chosen by counts over all documents."""
     for part in _blocks(benchmark, window, block):
         index = spark.sparkContext.broadcast(Index(part, window, shingle))
-        counts = _counts(source.select("text"), index, index.value.kinds)
+        counts = _counts(docs.select("text"), index, index.value.kinds)
         chosen = index.value
         chosen.choose(counts)
-        chosen = spark.sparkContext.broadcast(chosen)
-        found.append(source.mapInArrow(lambda it, c=chosen, n=names: _search(it, c.value, n), schema))
+        yield spark.sparkContext.broadcast(chosen)
+
+
+def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_words, spans (array of word ranges a to b, merged), items (sorted array)."""
+    ship(spark)
+    source = docs.select("doc_id", "text")
+    names = ["doc_id", "n_words", "spans", "items"]
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
+    found = [source.mapInArrow(lambda it, c=chosen, n=names: _search(it, c.value, n), schema) for chosen in _indexes(spark, source, benchmark, window, shingle, block)]
     if not found:
         empty = Index([], window, shingle)
         empty.choose(np.zeros(0))
@@ -209,11 +211,28 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFram
         # more items than one broadcast may hold: the finds of all blocks meet by document
         for more in found[1:]:
             out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *[F.first(c).alias(c) for c in keep])
+        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         out = out.withColumn("spans", _merged(F.col("spans")))
     return out
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    ship(spark)
+    out, columns = docs, docs.columns
+    for chosen in _indexes(spark, docs, benchmark, window, shingle, block):
+
+        def run(it: Iterator[pa.RecordBatch], c=chosen) -> Iterator[pa.RecordBatch]:
+            for batch in batches(it):
+                pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(columns.index("text"))], ["doc_id", "text"])
+                for found in _search(iter([pair]), c.value, ["doc_id", "n_words", "spans", "items"]):
+                    rows = [r for r, items in zip(found.column(0).to_pylist(), found.column(3).to_pylist()) if not items]
+                    yield batch.take(pa.array(rows, pa.int64()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def _merged(spans):
     """Overlapping ranges as one, by a fold over the sorted ranges."""
     zero = F.array().cast("array<struct<a: bigint, b: bigint>>")

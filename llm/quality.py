@@ -194,6 +194,21 @@ def score(spark: SparkSession, docs: DataFrame, model: Attention, keep: tuple[st
     return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in names) + "score double")
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, model: Attention, threshold: float = THRESHOLD, passage: int = PASSAGE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least ``threshold``."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            if batch.num_rows:
+                y = np.concatenate([sent.value.score(*features(raw, offs, passage)) for _, _, raw, offs in K.pieces(batch.column(at))])
+                yield batch.filter(pa.array(y >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(crc_mod("doc_id", 4) != 2).withColumnRenamed("quality", "label")

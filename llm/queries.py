@@ -6,6 +6,7 @@ from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
 from llm.jaccard import op1_ngram_jaccard
+from llm.lines import op3_line_dedup
 from llm.pitman_yor import op5_pitman_yor
 from llm.quality import op9_quality
 from llm.substrings import op2_suffix_dedup
@@ -15,6 +16,7 @@ from llm.warc import op7_warc
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_multi_index": op4_multi_index,
     "op5_pitman_yor": op5_pitman_yor,
     "op6_bpe": op6_bpe,
