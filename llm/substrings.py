@@ -42,7 +42,7 @@ SPAN = ("<i8", "<u4", "<u4")  # document, from, to
 ASK = ("<u8", "<i8", "<u4", "<u2")
 DEALT = "part int, kind int, data binary"
 #: Bytes that are sorted as one array; more of a shard make further arrays only where no anchor is cut.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
