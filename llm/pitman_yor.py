@@ -132,9 +132,10 @@ class Level:
 
     def seat(self, at: np.ndarray, fresh: np.ndarray, d: float) -> np.ndarray:
         """One customer of each dish comes in; fresh: weight of a new table; where one was opened."""
-        weight = np.where(self.size[at] > 0, self.size[at] - d, 0.0)
-        room = (self.size[at] == 0).argmax(axis=1)
-        full = self.size[at].all(axis=1)
+        size = self.size[at]
+        weight = np.where(size > 0, size - d, 0.0)
+        room = (size == 0).argmax(axis=1)
+        full = size.all(axis=1)
         total = weight.sum(axis=1)
         opened = (self.rng.random(len(at)) * (total + fresh) >= total) & ~full | (total <= 0)
         u = self.rng.random(len(at)) * np.maximum(total, 1e-300)
@@ -239,7 +240,7 @@ def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = np.add.reduceat(n, np.searchsorted(w, words))
         ranks = np.bincount(np.minimum(np.int64(8) * np.log2(of_word), 511).astype(np.int64), minlength=512)
         ones = np.array([(x.c == k).sum() for x in levels for k in (1, 2)])
-        yield _batch([(p, 0, K.pack(w, leaf, n.astype("<i8"))), (p, 1, np.concatenate([*c, *t, ones, [n.sum(), len(words)], ranks]).astype("<f8").tobytes())])
+        yield _batch([(p, 0, K.pack(w, leaf, n.astype("<u8"))), (p, 1, np.concatenate([*c, *t, ones, [n.sum(), len(words)], ranks]).astype("<f8").tobytes())])
 
 
 SAMPLE_HEAD = 1 + KINDS + LEAVES
@@ -251,19 +252,25 @@ def _gibbs(totals: Totals, parts: int, burn_in: int, samples: int, steps: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for p, x in zip(batch.column(0).to_pylist(), batch.column(2)):
-                w, leaf, n = K.unpack(x.as_buffer(), ("<u8", "u1", "<i8"))
-                words, levels = _levels(w, leaf, n, 2 + (burn_in + samples) * steps, np.random.default_rng([p, 11]))
+                w, leaf, n = K.unpack(x.as_buffer(), ("<u8", "u1", "<u8"))
+                _, levels = _levels(w, leaf, n, 2 + (burn_in + samples) * steps, np.random.default_rng([p, 11]))
+                whole = levels[2]
+                # a dish with one customer has one table, whatever is sampled
+                several = np.flatnonzero(n > 1)
+                levels[2] = Level(whole.rest[several], whole.up[several], n[several], whole.size.shape[1], whole.rng)
+                one = np.bincount(whole.rest[n == 1], minlength=LEAVES)
                 c0, t0 = _tables(levels)
-                rows, numbers = [], []
+                seats, numbers = [], []
                 for s in range(burn_in + samples):
                     c, t = _tables(levels)
                     now = Totals([a + parts * (y - z) for a, y, z in zip(totals.c, c, c0)], [a + parts * (y - z) for a, y, z in zip(totals.t, t, t0)], totals.d, round(1 / totals.base) - 1)
                     sweep(levels, now, steps)
                     if s >= burn_in:
                         c, t = _tables(levels)
-                        numbers += [*c, *t]
-                        rows.append((levels[0].c.copy(), levels[0].t, levels[1].c.copy(), levels[1].t, levels[2].t))
-                seats = [np.array(x, dtype="<i4").tobytes() for sample in rows for x in sample]
+                        numbers += [*c[:2], c[2] + one, *t[:2], t[2] + one]
+                        tables = np.ones(len(n), dtype="u1")
+                        tables[several] = levels[2].t
+                        seats += [levels[0].t.astype("u1").tobytes(), levels[1].t.astype("u1").tobytes(), tables.tobytes()]
                 yield _batch([(p, 0, K.pack(w, leaf, n) + b"".join(seats)), (p, 1, np.concatenate(numbers).astype("<f8").tobytes())])
 
     return run
@@ -273,7 +280,7 @@ class Seats:
     """A part's sampled seating, for predictive probabilities."""
 
     def __init__(self, data, samples: int, totals: list[Totals]):
-        w, leaf, n = K.unpack(data, ("<u8", "u1", "<i8"))
+        w, leaf, n = K.unpack(data, ("<u8", "u1", "<u8"))
         self.words, w = np.unique(w, return_inverse=True)
         self.leaf, self.n = leaf.astype(np.int64), n
         self.count = np.bincount(w, weights=n, minlength=len(self.words)).astype(np.int64)
@@ -282,11 +289,13 @@ class Seats:
         self.key = w * LEAVES + self.leaf
         self.kinds, self.samples = kinds, []
         for s in range(samples):
-            arrays = []
-            for size in (len(self.words), len(self.words), len(kinds), len(kinds), len(w)):
-                arrays.append(np.frombuffer(data, "<i4", size, at).astype(np.float64))
-                at += 4 * size
-            self.samples.append((totals[s], arrays))
+            t = []
+            for size in (len(self.words), len(kinds), len(w)):
+                t.append(np.frombuffer(data, "u1", size, at))
+                at += size
+            # a level's customers are the tables of the level below
+            c0, c1 = np.bincount(kinds // KINDS, weights=t[1], minlength=len(self.words)), np.bincount(k, weights=t[2], minlength=len(kinds))
+            self.samples.append((totals[s], (c0, t[0], c1, t[1], t[2])))
 
     def probability(self, row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Mean over the samples, of words by row (-1: unknown) in leaves."""
@@ -406,7 +415,7 @@ def _score_tokens(parts: int, samples: int, totals, tokens_: int, vocabulary: in
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seats: dict[int, Seats] = {}
-        unknown = Seats(K.pack(np.zeros(0, "<u8"), np.zeros(0, "u1"), np.zeros(0, "<i8")), samples, totals.value)
+        unknown = Seats(K.pack(np.zeros(0, "<u8"), np.zeros(0, "u1"), np.zeros(0, "<u8")), samples, totals.value)
         sums = K.Dealer(parts, 12 << 20)
         for batch in it:
             for p, kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
