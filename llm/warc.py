@@ -1,7 +1,7 @@
 """WARC: writing pages as archives, reading archives, and assembling transactions.
 
 Writing goes through Spark's own text writer with the record separator as line
-separator, so files are committed per task (a lost executor leaves no half file)
+separator and gzip compression, so files are committed per task (a lost executor leaves no half file)
 and may lie in any store that Spark writes to. Reading is driven by
 Content-Length, so payloads may hold anything, separators included.
 
@@ -19,6 +19,7 @@ with the same identifiers, of which one is kept. A null page id is left out.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import ship, table, work_dir
+from llm.common import ship, table, work_dir, written
 
 LEAST = 1000
 _SEPARATOR = "\r\n\r\n"
@@ -86,7 +87,12 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
     """Write each page as a capture of three records."""
     ship(spark)
     planned = plan_records(pages, least).select("page_id", "url", "html", "payload_digest", "refers_to")
-    planned.mapInArrow(_make, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", records_per_file).text(path)
+    planned.mapInArrow(_make, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+
+
+def unzipped(content: bytes) -> bytes:
+    """The bytes of an archive, whether or not it is compressed (as a whole or record by record)."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -122,7 +128,7 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for content in batch.column(0):
             rows, size = [], 0
-            for head, block in parse(content.as_py()):
+            for head, block in parse(unzipped(content.as_py())):
                 body = bytes(block)
                 http, payload, fields, digest = None, None, None, None
                 if head.get("content-type", "").startswith("application/http"):
@@ -179,6 +185,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture",
         F.col("main.refers_to").alias("first"),
     )
+    got = written(spark, got, "warc-captures")
     # what a revisit refers to is a record; its page is that record's own
     first = got.where("record_type = 'response' and payload_bytes >= " + str(LEAST)).select(F.col("capture").alias("first"), F.col("page_id").alias("refers_to"))
-    return got.join(first, "first", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = got.where("record_type = 'revisit'").join(first, "first", "left").select(*columns)
+    return got.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits)
