@@ -55,6 +55,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    if not len(x):
+        return x
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]]
