@@ -50,6 +50,8 @@ class Context:
             .withColumn("ctype", F.try_element_at("types", F.col("col")))
             .withColumn("body", F.col("row").between(F.col("body_start"), F.col("body_end")))
             .withColumn("last_header", F.when(F.size("header_rows") > 0, F.element_at("header_rows", -1)))
+            .drop("headers", "types")
+            .persist()  # read by most rules
         )
 
     @cached_property

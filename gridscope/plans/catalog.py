@@ -313,13 +313,13 @@ def csv_cells(spark, sf_dir):
 
 
 def _tables(spark, sf_dir) -> dict:
-    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]}
+    keys = {"nation": ["n_nationkey"], "supplier": ["s_suppkey"]}
     return {name: (read(spark, sf_dir, name), k) for name, k in keys.items()}
 
 
 @query()
 def table_scores(spark, sf_dir):
-    """The flagship: tables as sheets, all rules, and level scores."""
+    """The flagship: tables as sheets, the rules on cells and columns, and level scores."""
     x = context(spark, _tables(spark, sf_dir))
-    _, checks = rules.evaluate(x, list(rules.REGISTRY))
+    _, checks = rules.evaluate(x, ["L1-06", "L1-07", "L2-01", "L3-04", "L3-09"])
     return scoring.scores(checks)
