@@ -10,10 +10,10 @@ sets within the size ratio meet. For a pair the bits of both hashed bitmaps boun
 the overlap from above; pairs that pass get the exact intersection of their
 sorted arrays.
 
-Shingles that a task finds in many documents are summed over all tasks; the
+Shingles that a task finds in several documents are summed over all tasks; the
 ``HOT_MOST`` most frequent are ordered last, so frequent passages make no tiles.
-Tiles of many sets first try their pairs with a few pivots, the sets that lie in
-most tiles; whatever is then not yet in one group is compared pair by pair, so no
+Tiles of many sets first try their pairs with a few pivots, the first sets by a
+hash, which are the same in most tiles of a group; whatever is then not yet in one group is compared pair by pair, so no
 link between groups is lost and copies are not expanded into all pairs.
 
 Words are split at ASCII white space after lowering A-Z. A text of fewer words
@@ -37,8 +37,9 @@ from llm.common import batches, drop, partitions, ship, table, written
 from llm.graph import components
 
 N, PERCENT = 5, 80
-HOT_MOST = 1 << 16
-SMALL_TILE, PIVOTS = 12, 3
+#: Shingles ordered last: as many at most, and held by so many documents at least.
+HOT_MOST, HOT_LEAST = 1 << 20, 12
+SMALL_TILE, PIVOTS = 16, 2
 HOME_MOST, CHUNK = 500, 128
 TOKEN = ("<u8", "<u8", "<u4")
 
@@ -85,11 +86,11 @@ def _describe(n: int):
     """A row (kind 0) per document, and (kind 1) frequent shingles with the documents of the task that hold them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, docs = [], 0, 0
+        held, size = [], 0
 
         def frequent():
             g, c = np.unique(np.concatenate(held), return_counts=True)
-            at = np.flatnonzero(c >= max(8, docs // 100))
+            at = np.flatnonzero(c >= 2)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at)), pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(c[at], pa.int64()), pa.array(g[at].view(np.int64), pa.int64()), pa.nulls(len(at), pa.binary())], names)
 
         names = ["kind", "doc_id", "n", "set", "bits"]
@@ -97,12 +98,12 @@ def _describe(n: int):
             for i, j, raw, offs in K.pieces(batch.column(1)):
                 g, at = K.shingle_sets(raw, offs, n)
                 held.append(g)
-                size, docs = size + len(g), docs + j - i
+                size += len(g)
                 maps = [bitmap(g[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i), pa.int32()), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(K.set_digests(g, at).view(np.int64), pa.int64()), pa.array(maps, pa.binary())], names)
                 if size > 4 << 20:
                     yield frequent()
-                    held, size, docs = [], 0, 0
+                    held, size = [], 0
         if size:
             yield frequent()
 
@@ -115,15 +116,15 @@ def _tokens(n: int, percent: int, parts: int, hot):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = K.Dealer(parts)
         keys, ranks = hot.value
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[(keys & K.U64((1 << 20) - 1)).astype(np.int64)] = True
+        maybe = np.zeros(1 << 23, dtype=bool)
+        maybe[(keys & K.U64((1 << 23) - 1)).astype(np.int64)] = True
         for batch in batches(it):
             for _, _, raw, offs in K.pieces(batch.column(0)):
                 g, at = K.shingle_sets(raw, offs, n)
                 size = np.diff(at)
                 sets = K.set_digests(g, at)
                 late = np.zeros(len(g), dtype=np.int64)
-                x = np.flatnonzero(maybe[(g & K.U64((1 << 20) - 1)).astype(np.int64)])
+                x = np.flatnonzero(maybe[(g & K.U64((1 << 23) - 1)).astype(np.int64)])
                 if len(x) and len(keys):
                     j = np.minimum(np.searchsorted(keys, g[x]), len(keys) - 1)
                     ok = keys[j] == g[x]
@@ -162,7 +163,7 @@ def _pairs_of(at: np.ndarray, sets: np.ndarray, n: np.ndarray, percent: int):
     return (np.concatenate(a), np.concatenate(b)) if a else (sets[:0], sets[:0])
 
 
-def _tile(percent: int, parts: int):
+def _tile(percent: int, parts: int, small: int, pivots: int):
     """Tokens -> pairs to try (kind 0, dealt by pair) and tiles of many sets (kind 1, by token)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,19 +176,17 @@ def _tile(percent: int, parts: int):
         tile = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1 if len(t) else np.zeros(0, np.int64)
         size = np.bincount(tile) if len(t) else np.zeros(0, np.int64)
         out, big = K.Dealer(parts), K.Dealer(parts)
-        x = np.flatnonzero((size[tile] > 1) & (size[tile] <= SMALL_TILE)) if len(t) else np.zeros(0, np.int64)
+        x = np.flatnonzero((size[tile] > 1) & (size[tile] <= small)) if len(t) else np.zeros(0, np.int64)
         at = np.flatnonzero(np.concatenate([[True], t[x][1:] != t[x][:-1]])) if len(x) else np.zeros(0, np.int64)
         found = [_pairs_of(np.concatenate([at, [len(x)]]), s[x], n[x], percent)] if len(x) else []
-        x = np.flatnonzero(size[tile] > SMALL_TILE) if len(t) else np.zeros(0, np.int64)
+        x = np.flatnonzero(size[tile] > small) if len(t) else np.zeros(0, np.int64)
         rows = []
         if len(x):
-            ids, inverse, lies = np.unique(s[x], return_inverse=True, return_counts=True)
-            often = lies[inverse]
-            order = np.lexsort((s[x], -often, t[x]))
+            order = np.lexsort((K.mix(s[x]), t[x]))
             y = x[order]
             first = np.flatnonzero(np.concatenate([[True], t[y][1:] != t[y][:-1]]))
             length = np.diff(np.concatenate([first, [len(y)]]))
-            for k in range(PIVOTS):
+            for k in range(pivots):
                 lead = np.repeat(y[first + k], length)
                 ok = (lead != y) & (np.minimum(n[lead], n[y]) * 100 >= percent * np.maximum(n[lead], n[y]))
                 found.append((s[lead[ok]], s[y[ok]]))
@@ -294,21 +293,31 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
     return found
 
 
-def _apart(percent: int):
-    """Pairs of a tile whose sets lie in different groups."""
+def _apart(percent: int, parts: int):
+    """Members of tiles -> pairs of a tile whose sets lie in different groups, dealt by pair."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
-        n, s, c = rows.column("n").to_numpy(), rows.column("set").to_numpy(), rows.column("component").to_numpy()
-        order = np.lexsort((s, n))
-        n, s, c = n[order], s[order], c[order]
-        a, b = [], []
-        for i in range(len(s) - 1):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            j = j[c[j] != c[i]]
-            a.append(np.full(len(j), s[i]))
-            b.append(s[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a.view(K.U64), b.view(K.U64)).view(np.int64), pa.int64()), "b": pa.array(np.maximum(a.view(K.U64), b.view(K.U64)).view(np.int64), pa.int64())})
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[batch.column(k).to_numpy() for k in range(4)] for batch in it]
+        if not columns:
+            return
+        tile, s, n, c = (np.concatenate(x) for x in zip(*columns))
+        order = np.lexsort((s, n, tile))
+        tile, s, n, c = tile[order], s[order], n[order], c[order]
+        deal = K.Dealer(parts, 8 << 20)
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            size = n[begin:end]
+            reach = begin + np.searchsorted(size, size * 100 // percent, side="right")
+            for i in range(begin, end - 1):
+                j = np.arange(i + 1, reach[i - begin])
+                j = j[c[j] != c[i]]
+                if len(j):
+                    a, b = np.full(len(j), s[i]).view(K.U64), s[j].view(K.U64)
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    for p, v in deal.add((K.mix(a ^ K.mix(b)) % K.U64(parts)).astype(np.int64), a, b):
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
+        for p, v in deal.flush():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
 
     return run
 
@@ -321,20 +330,21 @@ def _explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64), pa.int64()), pa.array(s[j].view(np.int64), pa.int64()), pa.array(n[j], pa.int64())], ["tile", "set", "n"])
 
 
-def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL_TILE, pivots: int = PIVOTS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     ship(spark)
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
     described = written(spark, docs.mapInArrow(_describe(n), "kind int, doc_id long, n long, set long, bits binary"), "jaccard-documents")
     rows = described.where("kind = 0").select("doc_id", "n", "set", "bits")
-    frequent = described.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "set").limit(HOT_MOST).collect()  # a fixed bound
-    hot = sorted((r.set & 0xFFFFFFFFFFFFFFFF, r.n) for r in frequent)
-    hot = spark.sparkContext.broadcast((np.array([h for h, _ in hot], dtype=K.U64), np.array([c for _, c in hot], dtype=np.int64)))
+    frequent = described.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "set").limit(HOT_MOST).toArrow()  # a fixed bound
+    keys, held = frequent.column("set").to_numpy().astype(np.int64).view(K.U64), frequent.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((keys[order], held[order]))
     sets = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "bits")).alias("x"), F.min("doc_id").alias("least")).select("set", "x.doc_id", "x.n", "x.bits", "least")
     sets = written(spark, sets, "jaccard-sets")
     tokens = docs.select("text").mapInArrow(_tokens(n, percent, parts, hot), "part int, data binary")
-    tiles = written(spark, tokens.repartition("part").mapInArrow(_tile(percent, parts), "part int, kind int, data binary"), "jaccard-tiles")
+    tiles = written(spark, tokens.repartition("part").mapInArrow(_tile(percent, parts, small, pivots), "part int, kind int, data binary"), "jaccard-tiles")
     pairs = tiles.where("kind = 0").select("part", "data").repartition("part").mapInArrow(_distinct, "a long, b long")
     links = _verify(spark, docs, sets, pairs, n, percent)
     groups = components(spark, links)
@@ -344,7 +354,8 @@ def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: in
         members = members.join(groups.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         members = written(spark, members, "jaccard-members")
         mixed = members.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-        apart = members.join(mixed, "tile").groupBy("tile").applyInArrow(_apart(percent), "a long, b long").distinct()
+        apart = members.join(mixed, "tile").select("tile", "set", "n", "component").repartition("tile").mapInArrow(_apart(percent, parts), "part int, data binary")
+        apart = apart.repartition("part").mapInArrow(_distinct, "a long, b long")
         more = _verify(spark, docs, sets, apart, n, percent)
         if more.limit(1).count():
             groups = components(spark, links.unionByName(more))
