@@ -33,7 +33,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(1).alias("one"), *others).alias("__others"))
-    out = lines.dedup_lines(spark, packed, ("__others",))
+    out = lines.dedup_lines(spark, packed, ("__others",), 1)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     rest = {c: F.col("__others")[c] for c in others}
     if "n_chars" in rest:
