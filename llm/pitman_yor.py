@@ -10,9 +10,12 @@ corpus several times; these contexts keep the restaurants few, whatever the
 corpus, while their dishes are all its words.
 
 Seating follows the Chinese-restaurant process: at first a dish has one table in
-each restaurant; sweeps of a Gibbs sampler then take a random customer of every
-dish from its table and seat it anew, passing new and abandoned tables on to the
-parents. Words are dealt over parts by hash with all their restaurants, so a part
+each restaurant; a sweep of a blocked Gibbs sampler then seats all customers of every
+dish anew, from the contexts up, so that new tables are the parents' customers. Only
+the number of tables matters to predictions, and whether a customer opens one depends
+only on how many sit and on the tables so far, so that number is drawn without sizes;
+customers after the first ``SINGLE`` come in blocks of a sixteenth of those seated.
+Words are dealt over parts by hash with all their restaurants, so a part
 samples its words alone; how many tables other parts have meanwhile is estimated
 from its own. Predictive probabilities are averaged over the samples after
 burn-in. Discounts come from the counts of counts, over all training tokens.
@@ -40,6 +43,7 @@ from llm.common import batches, crc_mod, drop, partitions, ship, table, written
 KINDS, ENDINGS = 5, 16
 LEAVES = KINDS * ENDINGS
 BURN_IN, SAMPLES, STEPS = 2, 2, 2
+SINGLE = 64
 STRENGTH = 0.5
 HOT = 1 << 15
 END = K.U64(0xE4D0F7E47E57AB1E)
@@ -110,39 +114,23 @@ def _count(parts: int, most: int = 3 << 20):
 
 
 class Level:
-    """Dishes of the restaurants of one level within a part: customers, and sizes of each dish's tables."""
+    """Dishes of the restaurants of one level within a part: customers and tables of each."""
 
-    def __init__(self, rest: np.ndarray, up: np.ndarray | None, customers: np.ndarray, slots: int, rng):
+    def __init__(self, rest: np.ndarray, up: np.ndarray | None, customers: np.ndarray, rng):
         self.rest, self.up, self.rng = rest, up, rng
         self.c = customers.astype(np.int64)
-        self.size = np.zeros((len(rest), slots), dtype=np.int64)
-        self.size[:, 0] = self.c
-
-    @property
-    def t(self) -> np.ndarray:
-        return (self.size > 0).sum(axis=1)
-
-    def take(self, at: np.ndarray) -> np.ndarray:
-        """One random customer of each dish leaves; where that closed a table."""
-        u = (self.rng.random(len(at)) * self.c[at]).astype(np.int64)
-        k = (np.cumsum(self.size[at], axis=1) > u[:, None]).argmax(axis=1)
-        self.size[at, k] -= 1
-        self.c[at] -= 1
-        return self.size[at, k] == 0
-
-    def seat(self, at: np.ndarray, fresh: np.ndarray, d: float) -> np.ndarray:
-        """One customer of each dish comes in; fresh: weight of a new table; where one was opened."""
-        size = self.size[at]
-        weight = np.where(size > 0, size - d, 0.0)
-        room = (size == 0).argmax(axis=1)
-        full = size.all(axis=1)
-        total = weight.sum(axis=1)
-        opened = (self.rng.random(len(at)) * (total + fresh) >= total) & ~full | (total <= 0)
-        u = self.rng.random(len(at)) * np.maximum(total, 1e-300)
-        k = np.where(opened, room, (np.cumsum(weight, axis=1) > u[:, None]).argmax(axis=1))
-        self.size[at, k] += 1
-        self.c[at] += 1
-        return opened
+        self.t = np.minimum(self.c, 1)
+
+    def seat(self, fresh: np.ndarray, d: float) -> None:
+        """All customers of each dish come in anew; fresh: weight of a new table, but for d."""
+        self.t = np.minimum(self.c, 1)
+        n, at = 1, np.flatnonzero(self.c > 1)
+        while len(at):
+            m = np.minimum(1 if n < SINGLE else n // 16, self.c[at] - n)
+            seated = np.maximum(n + (m - 1) / 2 - d * self.t[at], 1 - d)
+            self.t[at] += self.rng.binomial(m, fresh[at] / (fresh[at] + seated))
+            n += 1 if n < SINGLE else n // 16
+            at = at[self.c[at] > n]
 
 
 class Totals:
@@ -159,13 +147,13 @@ class Totals:
         return np.maximum(c - self.d[level] * t, 0) / (STRENGTH + self.c[level][rest])
 
 
-def _levels(word: np.ndarray, leaf: np.ndarray, n: np.ndarray, slots: int, rng) -> tuple[np.ndarray, list[Level]]:
+def _levels(word: np.ndarray, leaf: np.ndarray, n: np.ndarray, rng) -> tuple[np.ndarray, list[Level]]:
     """Levels from the root down, every dish with one table."""
     words, w = np.unique(word, return_inverse=True)
     kinds, k = np.unique(w * KINDS + leaf.astype(np.int64) // ENDINGS, return_inverse=True)
-    root = Level(np.zeros(len(words), np.int64), None, np.bincount(kinds // KINDS, minlength=len(words)), slots, rng)
-    middle = Level(kinds % KINDS, kinds // KINDS, np.bincount(k, minlength=len(kinds)), slots, rng)
-    return words, [root, middle, Level(leaf.astype(np.int64), k, n, slots, rng)]
+    root = Level(np.zeros(len(words), np.int64), None, np.bincount(kinds // KINDS, minlength=len(words)), rng)
+    middle = Level(kinds % KINDS, kinds // KINDS, np.bincount(k, minlength=len(kinds)), rng)
+    return words, [root, middle, Level(leaf.astype(np.int64), k, n, rng)]
 
 
 SIZES = (1, KINDS, LEAVES)
@@ -185,45 +173,31 @@ def _chain(levels: list[Level], totals: Totals) -> list[np.ndarray]:
     return out
 
 
-def _pass_up(levels: list[Level], i: int, change: np.ndarray, totals: Totals) -> None:
-    """Tables opened (positive) and closed at level i + 1 come and go as customers at level i."""
-    while i >= 0:
-        x = levels[i]
-        up = np.zeros(len(levels[i - 1].rest), np.int64) if i else None
-        while (change != 0).any():
-            at = np.flatnonzero(change < 0)
-            if len(at):
-                closed = x.take(at)
-                if i:
-                    np.subtract.at(up, x.up[at[closed]], 1)
-                change[at] += 1
-            at = np.flatnonzero(change > 0)
-            if len(at):
-                p = _chain(levels[: i + 1], totals)
-                parent = totals.base if i == 0 else p[i - 1][x.up[at]]
-                opened = x.seat(at, (STRENGTH + totals.d[i] * totals.t[i][x.rest[at]]) * parent, totals.d[i])
-                if i:
-                    np.add.at(up, x.up[at[opened]], 1)
-                change[at] -= 1
-        if not i:
-            return
-        i, change = i - 1, up
-
-
 def sweep(levels: list[Level], totals: Totals, steps: int) -> None:
-    """Take and seat ``steps`` random customers of every dish that has several."""
-    bottom = levels[-1]
+    """Seat all customers of every dish anew, ``steps`` times."""
     for _ in range(steps):
-        at = np.flatnonzero(bottom.c > 1)
-        if not len(at):
-            return
-        p = _chain(levels[:-1], totals)[-1][bottom.up[at]]
-        closed = bottom.take(at)
-        opened = bottom.seat(at, (STRENGTH + totals.d[2] * totals.t[2][bottom.rest[at]]) * p, totals.d[2])
-        change = np.zeros(len(levels[1].rest), np.int64)
-        np.subtract.at(change, bottom.up[at[closed]], 1)
-        np.add.at(change, bottom.up[at[opened]], 1)
-        _pass_up(levels, 1, change, totals)
+        chain = _chain(levels, totals)
+        for i in range(len(levels) - 1, -1, -1):
+            x = levels[i]
+            parent = chain[i - 1][x.up] if i else totals.base
+            x.seat((STRENGTH + totals.d[i] * totals.t[i][x.rest]) * parent, totals.d[i])
+            if i:
+                levels[i - 1].c = np.bincount(x.up, weights=x.t, minlength=len(levels[i - 1].rest)).astype(np.int64)
+
+
+def sampled(levels: list[Level], totals: Totals, parts: int, burn_in: int, samples: int, steps: int) -> Iterator[tuple]:
+    """Customers and tables after each sample; burn-in goes on until a round changes the tables by a hundredth or by chance."""
+    c0, t0 = c, t = _tables(levels)
+    s, left = 0, samples
+    while left:
+        before = sum(x.sum() for x in t)
+        now = Totals([a + parts * (y - z) for a, y, z in zip(totals.c, c, c0)], [a + parts * (y - z) for a, y, z in zip(totals.t, t, t0)], totals.d, round(1 / totals.base) - 1)
+        sweep(levels, now, steps)
+        c, t = _tables(levels)
+        s, after = s + 1, sum(x.sum() for x in t)
+        if s > burn_in and (left < samples or abs(after - before) <= 0.01 * after + 3 * after**0.5):
+            left -= 1
+            yield c, t
 
 
 def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +209,7 @@ def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p, found in parts.items():
         w, leaf, n = K.gather(found, COUNT)
         w, leaf, n = _sum(w, leaf, n.astype(np.int64))
-        words, levels = _levels(w, leaf, n, 1, None)
+        words, levels = _levels(w, leaf, n, None)
         c, t = _tables(levels)
         of_word = np.add.reduceat(n, np.searchsorted(w, words))
         ranks = np.bincount(np.minimum(np.int64(8) * np.log2(of_word), 511).astype(np.int64), minlength=512)
@@ -253,24 +227,11 @@ def _gibbs(totals: Totals, parts: int, burn_in: int, samples: int, steps: int):
         for batch in it:
             for p, x in zip(batch.column(0).to_pylist(), batch.column(2)):
                 w, leaf, n = K.unpack(x.as_buffer(), ("<u8", "u1", "<u8"))
-                _, levels = _levels(w, leaf, n, 2 + (burn_in + samples) * steps, np.random.default_rng([p, 11]))
-                whole = levels[2]
-                # a dish with one customer has one table, whatever is sampled
-                several = np.flatnonzero(n > 1)
-                levels[2] = Level(whole.rest[several], whole.up[several], n[several], whole.size.shape[1], whole.rng)
-                one = np.bincount(whole.rest[n == 1], minlength=LEAVES)
-                c0, t0 = _tables(levels)
+                _, levels = _levels(w, leaf, n, np.random.default_rng([p, 11]))
                 seats, numbers = [], []
-                for s in range(burn_in + samples):
-                    c, t = _tables(levels)
-                    now = Totals([a + parts * (y - z) for a, y, z in zip(totals.c, c, c0)], [a + parts * (y - z) for a, y, z in zip(totals.t, t, t0)], totals.d, round(1 / totals.base) - 1)
-                    sweep(levels, now, steps)
-                    if s >= burn_in:
-                        c, t = _tables(levels)
-                        numbers += [*c[:2], c[2] + one, *t[:2], t[2] + one]
-                        tables = np.ones(len(n), dtype="u1")
-                        tables[several] = levels[2].t
-                        seats += [levels[0].t.astype("u1").tobytes(), levels[1].t.astype("u1").tobytes(), tables.tobytes()]
+                for c, t in sampled(levels, totals, parts, burn_in, samples, steps):
+                    numbers += [*c, *t]
+                    seats += [x.t.astype("<u4").tobytes() for x in levels]
                 yield _batch([(p, 0, K.pack(w, leaf, n) + b"".join(seats)), (p, 1, np.concatenate(numbers).astype("<f8").tobytes())])
 
     return run
@@ -291,8 +252,8 @@ class Seats:
         for s in range(samples):
             t = []
             for size in (len(self.words), len(kinds), len(w)):
-                t.append(np.frombuffer(data, "u1", size, at))
-                at += size
+                t.append(np.frombuffer(data, "<u4", size, at))
+                at += 4 * size
             # a level's customers are the tables of the level below
             c0, c1 = np.bincount(kinds // KINDS, weights=t[1], minlength=len(self.words)), np.bincount(k, weights=t[2], minlength=len(kinds))
             self.samples.append((totals[s], (c0, t[0], c1, t[1], t[2])))
