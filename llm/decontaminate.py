@@ -162,6 +162,20 @@ def _search(it: Iterator[pa.RecordBatch], index: Index, names: list[str]) -> Ite
             )
 
 
+def _add(it: Iterator[pa.RecordBatch], index: Index, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) or (text, doc_id, n_words, spans, items) -> the latter, with the finds of one more block."""
+    for batch in batches(it):
+        at = batch.schema.names.index
+        for found in _search(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at("text"))], names[:2])]), index, names):
+            rows = batch.take(found.column(0))
+            spans, items = found.column(2), found.column(3)
+            if "items" in batch.schema.names:
+                pairs = [[(x["a"], x["b"]) for x in [*a, *b]] for a, b in zip(rows.column(at("spans")).to_pylist(), spans.to_pylist())]
+                spans = pa.array([[{"a": a, "b": b} for a, b in merge(p)] for p in pairs], spans.type)
+                items = pa.array([sorted({*a, *b}) for a, b in zip(rows.column(at("items")).to_pylist(), items.to_pylist())], items.type)
+            yield pa.RecordBatch.from_arrays([rows.column(at("text")), rows.column(at("doc_id")), found.column(1), spans, items], ["text", *names])
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -201,19 +215,15 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     source = docs.select("doc_id", "text")
     names = ["doc_id", "n_words", "spans", "items"]
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
-    found = [source.mapInArrow(lambda it, c=chosen, n=names: _search(it, c.value, n), schema) for chosen in _indexes(spark, source, benchmark, window, shingle, block)]
-    if not found:
+    # more items than one broadcast may hold: a row passes the blocks in turn, so rows that repeat an id stay apart
+    out = None
+    for chosen in _indexes(spark, source, benchmark, window, shingle, block):
+        out = source.mapInArrow(lambda it, c=chosen: _add(it, c.value, names), f"text {source.schema['text'].dataType.simpleString()}, {schema}") if out is None else out.mapInArrow(lambda it, c=chosen: _add(it, c.value, names), out.schema)
+    if out is None:
         empty = Index([], window, shingle)
         empty.choose(np.zeros(0))
         return source.mapInArrow(lambda it: _search(it, empty, names), schema)
-    out = found[0]
-    if len(found) > 1:
-        # more items than one broadcast may hold: the finds of all blocks meet by document
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = out.withColumn("spans", _merged(F.col("spans")))
-    return out
+    return out.select(*names)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -233,18 +243,6 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     return out
 
 
-def _merged(spans):
-    """Overlapping ranges as one, by a fold over the sorted ranges."""
-    zero = F.array().cast("array<struct<a: bigint, b: bigint>>")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-        return F.when((F.size(acc) > 0) & (x["a"] <= F.try_element_at(acc, F.lit(-1))["b"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), zero, step)
-
-
 def digest(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
