@@ -4,17 +4,20 @@ A document's set holds its distinct ``n``-word shingles. Two documents link when
 their sets' intersection is at least ``percent`` of their union.
 
 Method: size-banded tiles with hashed bitmaps. Documents with equal sets are one
-set. A set's rarest shingles (n - ceil(0.8 n) + 1 of them suffice) name the tiles
-it lies in, so linked sets share a tile; a tile is ordered by size, and only
-sets within the size ratio meet. For a pair the bits of both hashed bitmaps bound
-the overlap from above; pairs that pass get the exact intersection of their
-sorted arrays.
+set. A tile is named by a band of set sizes (each ``BAND`` times the one before) and
+one of a set's rarest shingles (n - ceil(0.8 n) + 1 of them suffice); a set that may
+link with the next band lies in that band's tiles too, so linked sets share a tile.
+For a pair within the size ratio the bits of both hashed bitmaps bound the overlap
+from above; pairs that pass get the exact intersection of their sorted arrays.
 
 Shingles that a task finds in several documents are summed over all tasks; the
 ``HOT_MOST`` most frequent are ordered last, so frequent passages make no tiles.
-Tiles of many sets first try their pairs with a few pivots, the first sets by a
-hash, which are the same in most tiles of a group; whatever is then not yet in one group is compared pair by pair, so no
-link between groups is lost and copies are not expanded into all pairs.
+Tiles of at most ``small`` sets try all their pairs, others first the pairs with a
+few pivots, the least sets by a hash, which are the same in most tiles of a group.
+What these links leave apart is then compared within tiles, bitmap by bitmap, in
+blocks of at most about two times ``BLOCK`` sets, so that no task holds a whole large
+tile; only pairs that pass the bound leave the block. So no link between groups is lost
+and copies are not expanded into all pairs.
 
 Words are split at ASCII white space after lowering A-Z. A text of fewer words
 than ``n`` is one shingle, one without words is empty and linked with nothing;
@@ -39,8 +42,8 @@ from llm.graph import components
 N, PERCENT = 5, 80
 #: Shingles ordered last: as many at most, and held by so many documents at least.
 HOT_MOST, HOT_LEAST = 1 << 20, 12
-SMALL_TILE, PIVOTS = 16, 2
-HOME_MOST, CHUNK = 500, 128
+SMALL_TILE, PIVOTS = 4, 2
+BAND, BLOCK, CHUNK = 4, 512, 128
 TOKEN = ("<u8", "<u8", "<u4")
 
 
@@ -53,24 +56,38 @@ def prefix_size(n, percent: int):
     return n - -(-(percent * n) // 100) + 1
 
 
+def bands(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The size band of each set, and the next one where the set may link with it."""
+    edges = BAND ** np.arange(31, dtype=np.int64)
+    low = np.searchsorted(edges, n, side="right")
+    return low, low + (100 * n >= percent * edges[np.minimum(low, 30)])
+
+
+def tile_names(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return K.mix(token ^ K.mix(band.astype(K.U64)))
+
+
 def bitmap(grams: np.ndarray) -> bytes:
-    """A bitmap of at least two bits a shingle; its width is a power of two, so wider ones fold."""
-    width = max(64, 1 << int(2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    """A bitmap of at least four bits a shingle; its width is a power of two, so wider ones fold."""
+    width = max(64, 1 << int(4 * len(grams) - 1).bit_length()) if len(grams) else 64
     bits = np.zeros(width, dtype=bool)
     bits[(grams & K.U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) of a smaller width."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
-def overlap_bound(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
-    """No overlap is larger: each bit that one map has alone stands for a shingle that the other lacks."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(nx - int(_ONES[x & ~y].sum()), ny - int(_ONES[y & ~x].sum()))
+def overlap_bound(x: np.ndarray, y: np.ndarray, nx, ny):
+    """No overlap is larger: each bit that one map has alone stands for a shingle that the other lacks. x: a bitmap; y: one, or a row for each of several."""
+    width = min(x.shape[-1], y.shape[-1])
+    x, y = (np.ascontiguousarray(fold(z, width)).view(K.U64) for z in (x, y))
+    return np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
 
 
 def intersection(x: np.ndarray, y: np.ndarray) -> int:
@@ -139,6 +156,10 @@ def _tokens(n: int, percent: int, parts: int, hot):
                 take = np.where(size > 0, prefix_size(size, percent), 0)
                 pick = np.arange(len(g)) - at[doc] < take[doc]
                 t, d = g[pick], doc[pick]
+                low, upper = bands(size, percent)
+                more = upper[d] > low[d]
+                t = np.concatenate([tile_names(t, low[d]), tile_names(t[more], upper[d[more]])])
+                d = np.concatenate([d, d[more]])
                 for p, v in deal.add((t % K.U64(parts)).astype(np.int64), t, sets[d], size[d].astype("<u4")):
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
         for p, v in deal.flush():
@@ -164,37 +185,35 @@ def _pairs_of(at: np.ndarray, sets: np.ndarray, n: np.ndarray, percent: int):
 
 
 def _tile(percent: int, parts: int, small: int, pivots: int):
-    """Tokens -> pairs to try (kind 0, dealt by pair) and tiles of many sets (kind 1, by token)."""
+    """Tokens -> pairs to try (kind 0, dealt by pair) and the rows of tiles of more than ``small`` sets (kind 1)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, s, n = K.gather([x.as_buffer() for batch in it for x in batch.column(1)], TOKEN)
         order = np.lexsort((s, n, t))
         t, s, n = t[order], s[order], n[order].astype(np.int64)
-        if len(t):
-            keep = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
-            t, s, n = t[keep], s[keep], n[keep]
-        tile = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1 if len(t) else np.zeros(0, np.int64)
-        size = np.bincount(tile) if len(t) else np.zeros(0, np.int64)
-        out, big = K.Dealer(parts), K.Dealer(parts)
-        x = np.flatnonzero((size[tile] > 1) & (size[tile] <= small)) if len(t) else np.zeros(0, np.int64)
-        at = np.flatnonzero(np.concatenate([[True], t[x][1:] != t[x][:-1]])) if len(x) else np.zeros(0, np.int64)
-        found = [_pairs_of(np.concatenate([at, [len(x)]]), s[x], n[x], percent)] if len(x) else []
-        x = np.flatnonzero(size[tile] > small) if len(t) else np.zeros(0, np.int64)
-        rows = []
+        if not len(t):
+            return
+        keep = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+        t, s, n = t[keep], s[keep], n[keep]
+        size = np.diff(np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])))
+        size = np.repeat(size, size)
+        few = np.flatnonzero((size > 1) & (size <= small))
+        found = [_pairs_of(np.flatnonzero(np.concatenate([[True], t[few][1:] != t[few][:-1], [True]])), s[few], n[few], percent)] if len(few) else []
+        x = np.flatnonzero(size > small)
         if len(x):
-            order = np.lexsort((K.mix(s[x]), t[x]))
-            y = x[order]
+            y = x[np.lexsort((K.mix(s[x]), t[x]))]
             first = np.flatnonzero(np.concatenate([[True], t[y][1:] != t[y][:-1]]))
             length = np.diff(np.concatenate([first, [len(y)]]))
             for k in range(pivots):
                 lead = np.repeat(y[first + k], length)
                 ok = (lead != y) & (np.minimum(n[lead], n[y]) * 100 >= percent * np.maximum(n[lead], n[y]))
                 found.append((s[lead[ok]], s[y[ok]]))
-            rows += [(p, 1, v) for p, v in [*big.add((t[x] % K.U64(parts)).astype(np.int64), t[x], s[x], n[x].astype("<u4")), *big.flush()]]
+        deal, rows = K.Dealer(parts), []
         for a, b in found:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            u = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.zeros((0, 2), K.U64)
-            rows += [(p, 0, v) for p, v in [*out.add((K.mix(u[:, 0] ^ K.mix(u[:, 1])) % K.U64(parts)).astype(np.int64), u[:, 0], u[:, 1]), *out.flush()]]
+            u = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), K.U64)
+            rows += [(p, 0, v) for p, v in deal.add((K.mix(u[:, 0] ^ K.mix(u[:, 1])) % K.U64(parts)).astype(np.int64), u[:, 0], u[:, 1])]
+        rows += [(p, 0, v) for p, v in deal.flush()]
+        rows += [(0, 1, K.pack(t[y], s[y], n[y].astype("<u4"))) for y in np.split(x, range(1 << 16, len(x), 1 << 16)) if len(y)]
         for i in range(0, len(rows), 64):
             p, k, v = zip(*rows[i : i + 64])
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(v, pa.binary())], ["part", "kind", "data"])
@@ -225,97 +244,102 @@ def _prune(percent: int):
 
 
 def _decide(n: int, percent: int):
-    """Homes (texts, then pairs) -> links. Within a home a pair whose sets are already connected is not needed."""
-
-    def links(texts: list[tuple[int, str]], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def find(i: int) -> int:
-            while root.setdefault(i, i) != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        sets: dict[int, np.ndarray] = {}
-        for i, _, raw, offs in K.pieces(pa.array([t for _, t in texts], pa.string())):
-            g, cut = K.shingle_sets(raw, offs, n)
-            for k, found in enumerate(K.set_digests(g, cut).view(np.int64).tolist()):
-                if found == texts[i + k][0]:  # an id may have come with several texts
-                    sets[found] = g[cut[k] : cut[k + 1]]
-        out = []
-        for a, b in pairs:
-            x, y = find(a), find(b)
-            if x != y and a in sets and b in sets and intersection(sets[a], sets[b]) >= needed(len(sets[a]), len(sets[b]), percent):
-                root[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return out
+    """Homes (rows of a lead's text, then rows of its partners' texts) -> links. Only one lead's set is held."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, texts, pairs = None, [], []
-
-        def done():
-            out = links(texts, pairs)
+        home, lead = None, None
+        for batch in batches(it, 500):
+            homes, own, sets, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for i, j, raw, offs in K.pieces(batch.column(3)):
+                g, cut = K.shingle_sets(raw, offs, n)
+                digests = K.set_digests(g, cut).view(np.int64).tolist()
+                for k in range(i, j):
+                    if homes[k] != home:
+                        home, lead = homes[k], None
+                    if digests[k - i] != (sets[k] if sets[k] is not None else own[k]):
+                        continue  # an id may have come with several texts
+                    x = g[cut[k - i] : cut[k - i + 1]]
+                    if sets[k] is None:
+                        lead = x.copy()
+                    elif lead is not None and intersection(lead, x) >= needed(len(lead), len(x), percent):
+                        out.append((own[k], sets[k]))
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in it:
-            for r in batch.to_pylist():
-                if r["home"] != home:
-                    yield from done()
-                    home, texts, pairs = r["home"], [], []
-                if r["text"] is not None:
-                    texts.append((r["a"], r["text"]))
-                else:
-                    pairs.append((r["a"], r["b"]))
-        yield from done()
-
     return run
 
 
-def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links among pairs (a, b) of sets that connect what the pairs' links connect."""
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
-    close = written(spark, met.mapInArrow(_prune(percent), "a long, b long, doc_a long, doc_b long"), "jaccard-close")
-    group = components(spark, close)
-    sized = group.join(group.groupBy("component").agg(F.count("*").alias("members")), "component")
-    # a home is a group of close sets; of a large group, a slice of one set's partners
-    lead = F.least("a", "b")
-    placed = close.join(sized.select(F.col("id").alias("a"), "component", "members"), "a")
-    placed = placed.withColumn("home", F.when(F.col("members") <= HOME_MOST, F.struct("component", F.lit(0).cast("long").alias("chunk"))).otherwise(F.struct(lead.alias("component"), (F.lit(1) + F.pmod(F.xxhash64(F.greatest("a", "b")), F.ceil(F.col("members") / CHUNK))).cast("long").alias("chunk"))))
-    placed = written(spark, placed.select(F.xxhash64("home").alias("home"), "a", "b", "doc_a", "doc_b"), "jaccard-placed")
-    asked = placed.select("home", F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("doc_a").alias("doc")), F.struct(F.col("b").alias("a"), F.col("doc_b").alias("doc")))).alias("x")).select("home", "x.a", "x.doc").distinct()
-    texts = asked.join(docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc").select("home", "a", F.lit(None).cast("long").alias("b"), "text")
-    rows = texts.unionByName(placed.select("home", "a", "b", F.lit(None).cast("string").alias("text")))
-    found = written(spark, rows.repartition("home").sortWithinPartitions("home", F.col("text").isNull()).mapInArrow(_decide(n, percent), "a long, b long"), "jaccard-links")
+def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int, pruned: bool = False) -> DataFrame:
+    """The links among pairs (a, b) of sets."""
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), *([] if pruned else [F.col("bits").alias(f"bits_{x}")]))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    if not pruned:
+        met = met.select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_prune(percent), "a long, b long, doc_a long, doc_b long")
+    close = written(spark, met.select("a", "b", "doc_a", "doc_b"), "jaccard-close")
+    # a home is one set, the lead, and some of its partners; of a pair the set of more pairs leads
+    degree = close.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("d"))
+    placed = close.join(degree.select(F.col("set").alias("a"), F.col("d").alias("d_a")), "a").join(degree.select(F.col("set").alias("b"), F.col("d").alias("d_b")), "b")
+    ahead = F.col("d_a") >= F.col("d_b")
+    pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    placed = placed.select(pick("a", "b").alias("lead"), pick("doc_a", "doc_b").alias("doc_lead"), pick("b", "a").alias("set"), pick("doc_b", "doc_a").alias("doc"), pick("d_a", "d_b").alias("d"))
+    placed = written(spark, placed.withColumn("home", F.xxhash64("lead", F.pmod(F.xxhash64("set"), F.ceil(F.col("d") / CHUNK)))), "jaccard-placed")
+    asked = placed.select("home", "lead", F.lit(None).cast("long").alias("set"), F.col("doc_lead").alias("doc")).distinct().unionByName(placed.select("home", "lead", "set", "doc"))
+    rows = asked.join(docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc").select("home", "lead", "set", "text")
+    found = written(spark, rows.repartition("home").sortWithinPartitions("home", F.col("set").isNotNull()).mapInArrow(_decide(n, percent), "a long, b long"), "jaccard-links")
     drop(spark, close, placed)
     return found
 
 
 def _apart(percent: int, parts: int):
-    """Members of tiles -> pairs of a tile whose sets lie in different groups, dealt by pair."""
+    """Blocks of tiles, their rows together -> pairs of a block whose groups differ and whose bitmaps leave room for a link, dealt by pair."""
+
+    def block(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        rows.sort(key=lambda r: (r["n"], r["set"]))
+        s, n, c, k = (np.array([r[x] for r in rows], dtype=np.int64) for x in ("set", "n", "component", "chunk"))
+        width = np.array([len(r["bits"]) for r in rows])
+        maps = {w: np.stack([np.frombuffer(r["bits"], dtype=np.uint8) for r in rows if len(r["bits"]) == w]) for w in set(width.tolist())}
+        at = {w: np.flatnonzero(width == w) for w in maps}
+        a, b = [], []
+        across = len(np.unique(k)) > 1 and rows[0]["across"]
+        for w, own in at.items():
+            for v, other in at.items():
+                if v < w:
+                    continue
+                theirs = fold(maps[v], w)
+                for i, x in zip(own.tolist(), maps[w]):
+                    lo, hi = np.searchsorted(n[other], -(-percent * n[i] // 100)), np.searchsorted(n[other], n[i] * 100 // percent, side="right")
+                    if lo >= hi:
+                        continue
+                    j = other[lo:hi]
+                    ok = c[j] != c[i]
+                    if v == w:
+                        ok &= j > i
+                    if across:
+                        ok &= k[j] != k[i]
+                    if ok.any():
+                        j = j[ok]
+                        j = j[overlap_bound(x, theirs[lo:hi][ok], n[i], n[j]) >= needed(n[i], n[j], percent)]
+                        a.append(np.full(len(j), s[i]))
+                        b.append(s[j])
+        return (np.concatenate(a), np.concatenate(b)) if a else (s[:0], s[:0])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[batch.column(k).to_numpy() for k in range(4)] for batch in it]
-        if not columns:
-            return
-        tile, s, n, c = (np.concatenate(x) for x in zip(*columns))
-        order = np.lexsort((s, n, tile))
-        tile, s, n, c = tile[order], s[order], n[order], c[order]
-        deal = K.Dealer(parts, 8 << 20)
-        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            size = n[begin:end]
-            reach = begin + np.searchsorted(size, size * 100 // percent, side="right")
-            for i in range(begin, end - 1):
-                j = np.arange(i + 1, reach[i - begin])
-                j = j[c[j] != c[i]]
-                if len(j):
-                    a, b = np.full(len(j), s[i]).view(K.U64), s[j].view(K.U64)
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                    for p, v in deal.add((K.mix(a ^ K.mix(b)) % K.U64(parts)).astype(np.int64), a, b):
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
+        deal, key, rows = K.Dealer(parts, 4 << 20), None, []
+
+        def done():
+            a, b = (x.view(K.U64) for x in block(rows)) if rows else (np.zeros(0, K.U64),) * 2
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            for p, v in deal.add((K.mix(a ^ K.mix(b)) % K.U64(parts)).astype(np.int64), a, b):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
+
+        for batch in batches(it, 500):
+            for r in batch.to_pylist():
+                if (r["tile"], r["block"]) != key:
+                    yield from done()
+                    key, rows = (r["tile"], r["block"]), []
+                rows.append(r)
+        yield from done()
         for p, v in deal.flush():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v], pa.binary())], ["part", "data"])
 
@@ -330,7 +354,25 @@ def _explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64), pa.int64()), pa.array(s[j].view(np.int64), pa.int64()), pa.array(n[j], pa.int64())], ["tile", "set", "n"])
 
 
-def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL_TILE, pivots: int = PIVOTS) -> DataFrame:
+def _left_apart(spark: SparkSession, sets: DataFrame, tiles: DataFrame, groups: DataFrame, percent: int, parts: int, block: int) -> DataFrame:
+    """Pairs of sets that share a tile of more than a few sets, are not yet in one group, and may link by their bitmaps."""
+    members = tiles.where("kind = 1").select("data").mapInArrow(_explode, "tile long, set long, n long")
+    members = members.join(groups.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    members = written(spark, members, "jaccard-members")
+    mixed = members.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("tile", F.ceil(F.col("m") / block).cast("int").alias("chunks"))
+    # chunks of a large tile meet pair by pair; a tile of one chunk is one block
+    rows = members.join(mixed, "tile").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    rows = rows.join(sets.select("set", "bits"), "set")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = rows.select("tile", (low.cast("long") * F.col("chunks") + high).alias("block"), (low != high).alias("across"), "chunk", "set", "n", "component", "bits")
+    found = rows.repartition("tile", "block").sortWithinPartitions("tile", "block").mapInArrow(_apart(percent, parts), "part int, data binary")
+    out = written(spark, found.repartition("part").mapInArrow(_distinct, "a long, b long"), "jaccard-apart")
+    drop(spark, members)
+    return out
+
+
+def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL_TILE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     ship(spark)
     parts = partitions(spark)
@@ -348,17 +390,12 @@ def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: in
     pairs = tiles.where("kind = 0").select("part", "data").repartition("part").mapInArrow(_distinct, "a long, b long")
     links = _verify(spark, docs, sets, pairs, n, percent)
     groups = components(spark, links)
-    if tiles.where("kind = 1").limit(1).count():
-        # sets that lie in a large tile but not yet in one group
-        members = tiles.where("kind = 1").select("data").mapInArrow(_explode, "tile long, set long, n long")
-        members = members.join(groups.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        members = written(spark, members, "jaccard-members")
-        mixed = members.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-        apart = members.join(mixed, "tile").select("tile", "set", "n", "component").repartition("tile").mapInArrow(_apart(percent, parts), "part int, data binary")
-        apart = apart.repartition("part").mapInArrow(_distinct, "a long, b long")
-        more = _verify(spark, docs, sets, apart, n, percent)
+    apart = _left_apart(spark, sets, tiles, groups, percent, parts, block)
+    if apart.limit(1).count():
+        more = _verify(spark, docs, sets, apart, n, percent, pruned=True)
         if more.limit(1).count():
             groups = components(spark, links.unionByName(more))
+    drop(spark, apart, tiles)
     named = sets.select("set", "least").join(groups.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "component").select("set", "component_id")

@@ -50,8 +50,8 @@ def test_suffix_arrays():
     suffix.WAVES_MOST = 600
 
 
-@pytest.mark.parametrize("small, pivots", [(16, 2), (2, 1)])
-def test_jaccard_against_all_pairs(spark, docs, small, pivots):
+@pytest.mark.parametrize("small, pivots, block", [(4, 2, 512), (2, 1, 3)])
+def test_jaccard_against_all_pairs(spark, docs, small, pivots, block):
     rows = corpus()
     sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
@@ -67,7 +67,7 @@ def test_jaccard_against_all_pairs(spark, docs, small, pivots):
             if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_documents(spark, docs(rows), small=small, pivots=pivots).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_documents(spark, docs(rows), small=small, pivots=pivots, block=block).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
