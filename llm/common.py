@@ -69,6 +69,16 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that are broadcast to filter a table before it is shuffled: so many at most.
+KEYS_MOST = 1 << 20
+
+
+def only(spark: SparkSession, df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose ``column`` is among the distinct keys; few keys spare df the shuffle."""
+    keys = written(spark, keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= KEYS_MOST else keys, column, "left_semi")
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the column as text, modulo m."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % m

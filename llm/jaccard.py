@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import kernels as K
-from llm.common import batches, drop, partitions, ship, table, written
+from llm.common import batches, drop, only, partitions, ship, table, written
 from llm.graph import components
 
 N, PERCENT = 5, 80
 #: Shingles ordered last: as many at most, and held by so many documents at least.
 HOT_MOST, HOT_LEAST = 1 << 20, 12
-SMALL_TILE, PIVOTS = 4, 2
+SMALL_TILE, PIVOTS = 16, 2
 BAND, BLOCK, CHUNK = 4, 512, 128
 TOKEN = ("<u8", "<u8", "<u4")
 
@@ -270,13 +270,25 @@ def _decide(n: int, percent: int):
     return run
 
 
-def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int, pruned: bool = False) -> DataFrame:
+def _bits(spark: SparkSession, described: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, bits) of the wanted sets."""
+    return only(spark, described.where("kind = 0").select("set", "bits"), wanted, "set").groupBy("set").agg(F.min("bits").alias("bits"))
+
+
+def _verify(spark: SparkSession, docs: DataFrame, described: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int, pruned: bool = False) -> DataFrame:
     """The links among pairs (a, b) of sets."""
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), *([] if pruned else [F.col("bits").alias(f"bits_{x}")]))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    if not pruned:
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"))
+    if pruned:
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+    else:
+        tried = written(spark, pairs, "jaccard-pairs")
+        bits = written(spark, _bits(spark, described, tried.select(F.explode(F.array("a", "b")).alias("set")).distinct()), "jaccard-bits")
+        met = tried.join(side("a"), "a").join(side("b"), "b")
+        met = met.join(bits.select(F.col("set").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("set").alias("b"), F.col("bits").alias("bits_b")), "b")
         met = met.select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_prune(percent), "a long, b long, doc_a long, doc_b long")
     close = written(spark, met.select("a", "b", "doc_a", "doc_b"), "jaccard-close")
+    if not pruned:
+        drop(spark, tried, bits)
     # a home is one set, the lead, and some of its partners; of a pair the set of more pairs leads
     degree = close.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("d"))
     placed = close.join(degree.select(F.col("set").alias("a"), F.col("d").alias("d_a")), "a").join(degree.select(F.col("set").alias("b"), F.col("d").alias("d_b")), "b")
@@ -285,7 +297,8 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
     placed = placed.select(pick("a", "b").alias("lead"), pick("doc_a", "doc_b").alias("doc_lead"), pick("b", "a").alias("set"), pick("doc_b", "doc_a").alias("doc"), pick("d_a", "d_b").alias("d"))
     placed = written(spark, placed.withColumn("home", F.xxhash64("lead", F.pmod(F.xxhash64("set"), F.ceil(F.col("d") / CHUNK)))), "jaccard-placed")
     asked = placed.select("home", "lead", F.lit(None).cast("long").alias("set"), F.col("doc_lead").alias("doc")).distinct().unionByName(placed.select("home", "lead", "set", "doc"))
-    rows = asked.join(docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc").select("home", "lead", "set", "text")
+    texts = only(spark, docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), asked.select("doc").distinct(), "doc")
+    rows = asked.join(texts, "doc").select("home", "lead", "set", "text")
     found = written(spark, rows.repartition("home").sortWithinPartitions("home", F.col("set").isNotNull()).mapInArrow(_decide(n, percent), "a long, b long"), "jaccard-links")
     drop(spark, close, placed)
     return found
@@ -354,7 +367,7 @@ def _explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64), pa.int64()), pa.array(s[j].view(np.int64), pa.int64()), pa.array(n[j], pa.int64())], ["tile", "set", "n"])
 
 
-def _left_apart(spark: SparkSession, sets: DataFrame, tiles: DataFrame, groups: DataFrame, percent: int, parts: int, block: int) -> DataFrame:
+def _left_apart(spark: SparkSession, described: DataFrame, tiles: DataFrame, groups: DataFrame, percent: int, parts: int, block: int) -> DataFrame:
     """Pairs of sets that share a tile of more than a few sets, are not yet in one group, and may link by their bitmaps."""
     members = tiles.where("kind = 1").select("data").mapInArrow(_explode, "tile long, set long, n long")
     members = members.join(groups.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -362,13 +375,15 @@ def _left_apart(spark: SparkSession, sets: DataFrame, tiles: DataFrame, groups:
     mixed = members.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("tile", F.ceil(F.col("m") / block).cast("int").alias("chunks"))
     # chunks of a large tile meet pair by pair; a tile of one chunk is one block
     rows = members.join(mixed, "tile").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    rows = rows.join(sets.select("set", "bits"), "set")
+    rows = rows_ = written(spark, rows, "jaccard-mixed")
+    bits = _bits(spark, described, rows.select("set").distinct())
+    rows = rows.join(bits, "set")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     rows = rows.select("tile", (low.cast("long") * F.col("chunks") + high).alias("block"), (low != high).alias("across"), "chunk", "set", "n", "component", "bits")
     found = rows.repartition("tile", "block").sortWithinPartitions("tile", "block").mapInArrow(_apart(percent, parts), "part int, data binary")
     out = written(spark, found.repartition("part").mapInArrow(_distinct, "a long, b long"), "jaccard-apart")
-    drop(spark, members)
+    drop(spark, members, rows_)
     return out
 
 
@@ -378,21 +393,21 @@ def join_documents(spark: SparkSession, docs: DataFrame, n: int = N, percent: in
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
     described = written(spark, docs.mapInArrow(_describe(n), "kind int, doc_id long, n long, set long, bits binary"), "jaccard-documents")
-    rows = described.where("kind = 0").select("doc_id", "n", "set", "bits")
+    rows = described.where("kind = 0").select("doc_id", "n", "set")
     frequent = described.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "set").limit(HOT_MOST).toArrow()  # a fixed bound
     keys, held = frequent.column("set").to_numpy().astype(np.int64).view(K.U64), frequent.column("n").to_numpy().astype(np.int64)
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], held[order]))
-    sets = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "bits")).alias("x"), F.min("doc_id").alias("least")).select("set", "x.doc_id", "x.n", "x.bits", "least")
+    sets = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("x"), F.min("doc_id").alias("least")).select("set", "x.doc_id", "x.n", "least")
     sets = written(spark, sets, "jaccard-sets")
     tokens = docs.select("text").mapInArrow(_tokens(n, percent, parts, hot), "part int, data binary")
     tiles = written(spark, tokens.repartition("part").mapInArrow(_tile(percent, parts, small, pivots), "part int, kind int, data binary"), "jaccard-tiles")
     pairs = tiles.where("kind = 0").select("part", "data").repartition("part").mapInArrow(_distinct, "a long, b long")
-    links = _verify(spark, docs, sets, pairs, n, percent)
+    links = _verify(spark, docs, described, sets, pairs, n, percent)
     groups = components(spark, links)
-    apart = _left_apart(spark, sets, tiles, groups, percent, parts, block)
+    apart = _left_apart(spark, described, tiles, groups, percent, parts, block)
     if apart.limit(1).count():
-        more = _verify(spark, docs, sets, apart, n, percent, pruned=True)
+        more = _verify(spark, docs, described, sets, apart, n, percent, pruned=True)
         if more.limit(1).count():
             groups = components(spark, links.unionByName(more))
     drop(spark, apart, tiles)
