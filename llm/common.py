@@ -74,9 +74,9 @@ KEYS_MOST = 1 << 20
 
 
 def only(spark: SparkSession, df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows of df whose ``column`` is among the distinct keys; few keys spare df the shuffle."""
+    """df without rows that a later join with the distinct keys would drop; of too many keys for a broadcast, df itself."""
     keys = written(spark, keys, "keys")
-    return df.join(F.broadcast(keys) if keys.count() <= KEYS_MOST else keys, column, "left_semi")
+    return df.join(F.broadcast(keys), column, "left_semi") if keys.count() <= KEYS_MOST else df
 
 
 def crc_mod(column: str, m: int):
