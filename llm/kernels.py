@@ -8,6 +8,8 @@ to differ in their hash.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -204,11 +206,39 @@ def gather(values, dtypes: tuple) -> list[np.ndarray]:
     return [np.concatenate(x) if parts else np.zeros(0, d) for d, x in zip(dtypes, zip(*parts) if parts else [()] * len(dtypes))]
 
 
+def _murmur(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of an integer column, as public in Murmur3 (32 bits)."""
+    u = np.uint32
+    with np.errstate(over="ignore"):
+        k = x.astype(u) * u(0xCC9E2D51)
+        k = ((k << u(15)) | (k >> u(17))) * u(0x1B873593)
+        h = u(seed) ^ k
+        h = ((h << u(13)) | (h >> u(19))) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+        return (h ^ (h >> u(16))).view(np.int32)
+
+
+@lru_cache(maxsize=8)
+def spread(parts: int) -> np.ndarray:
+    """Numbers of parts that a repartition by them into as many partitions deals one to each."""
+    names, begin = np.full(parts, -1, dtype=np.int64), 0
+    while (names < 0).any():
+        x = np.arange(begin, begin + 4 * parts + 64)
+        at = _murmur(x).astype(np.int64) % parts
+        for k in np.unique(at)[names[np.unique(at)] < 0].tolist():
+            names[k] = x[np.argmax(at == k)]
+        begin += len(x)
+    return names
+
+
 class Dealer:
-    """Deals rows of arrays over numbered parts, as few packed values."""
+    """Deals rows of arrays over parts, as few packed values; parts have the numbers of spread()."""
 
     def __init__(self, parts: int, most: int = 24 << 20):
         self.parts, self.most, self.size = parts, most, 0
+        self.names = spread(parts)
         self.held: list[tuple[np.ndarray, tuple[np.ndarray, ...]]] = []
 
     def add(self, part: np.ndarray, *arrays: np.ndarray):
@@ -227,5 +257,5 @@ class Dealer:
             part, arrays = part[order], [a[order] for a in arrays]
             cuts = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
-                yield int(part[a]), pack(*(x[a:b] for x in arrays))
+                yield int(self.names[part[a]]), pack(*(x[a:b] for x in arrays))
         self.held, self.size = [], 0

@@ -1,27 +1,30 @@
 """Language-model scoring: a hierarchical Pitman-Yor model.
 
 Tokens are the lower-cased words of a text and one end. A token sits in the
-restaurant of its context; a restaurant's tables are customers of its parent:
+restaurant of its context, the preceding word; a restaurant's tables are customers
+of its parent:
 
-    80 contexts (kind and hashed ending of the preceding word) -> 5 kinds -> all words -> uniform
+    preceding word -> its class (kind and hashed ending, 80) -> its kind (5) -> all words -> uniform
 
-A restaurant for every preceding word would move every distinct word pair of the
-corpus several times; these contexts keep the restaurants few, whatever the
-corpus, while their dishes are all its words.
+Each preceding word has its own restaurant, named by 15 bits of its hash within its
+class (2.6 million names, so that what restaurants hold in total can be sent to all
+tasks); words of one name share it. Dishes are all words in all contexts, however often.
 
-Seating follows the Chinese-restaurant process: at first a dish has one table in
-each restaurant; a sweep of a blocked Gibbs sampler then seats all customers of every
+Seating follows the Chinese-restaurant process: at first a dish has one table in each
+restaurant; each sweep of a blocked Gibbs sampler then seats all customers of every
 dish anew, from the contexts up, so that new tables are the parents' customers. Only
 the number of tables matters to predictions, and whether a customer opens one depends
 only on how many sit and on the tables so far, so that number is drawn without sizes;
 customers after the first ``SINGLE`` come in blocks of a sixteenth of those seated.
-Words are dealt over parts by hash with all their restaurants, so a part
-samples its words alone; how many tables other parts have meanwhile is estimated
-from its own. Predictive probabilities are averaged over the samples after
-burn-in. Discounts come from the counts of counts, over all training tokens.
+Chance comes from hashes of the dish and the step, and restaurants' totals are
+exchanged between rounds (first ``BURN_IN`` sweeps, then as many and ``SAMPLES``), so
+scores do not depend on how words are dealt. Predictive probabilities are averaged over
+the samples. Discounts come from the counts of counts, over all training tokens.
 
-Scores meet tokens in two ways: the most frequent words (at most ``HOT``) are
-broadcast; all other tokens are dealt to their word's part.
+Words are dealt over parts by hash, with all their dishes. The most frequent words (at
+most ``HOT``) are dealt by word and context; their dishes above the contexts are few
+and sampled together. Scores meet tokens in two ways: the most frequent pairs of context
+and word (at most ``HOT_PAIRS``) are broadcast; all other tokens are dealt as the dishes.
 
 A null text is an empty text, which has one token, the end. Every row gets its own
 scores, whatever rows repeat its id. Without training tokens all words are unknown.
@@ -29,6 +32,7 @@ scores, whatever rows repeat its id. Without training tokens all words are unkno
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +44,17 @@ from pyspark.sql import functions as F
 from llm import kernels as K
 from llm.common import batches, crc_mod, drop, partitions, ship, table, written
 
-KINDS, ENDINGS = 5, 16
+KINDS, ENDINGS, SUB, BITS = 5, 16, 15, 22
 LEAVES = KINDS * ENDINGS
-BURN_IN, SAMPLES, STEPS = 2, 2, 2
+CONTEXTS, RANGES = LEAVES << SUB, 16
+BURN_IN, SAMPLES = 1, 2
 SINGLE = 64
 STRENGTH = 0.5
-HOT = 1 << 15
+HOT, HOT_PAIRS = 1 << 14, 1 << 17
+FLUSH = 2 << 20
 END = K.U64(0xE4D0F7E47E57AB1E)
-COUNT = ("<u8", "u1", "<u4")
 ROWS = "part int, kind int, data binary"
+_HIGH = K.U64((1 << 64) - (1 << BITS))
 
 _END_KIND = np.full(256, 3, dtype=np.int64)
 _END_KIND[0x61:0x7B] = 1
@@ -57,54 +63,101 @@ _END_KIND[0x80:] = 4
 
 
 def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, word hash and leaf restaurant of each token."""
+    """Document, word hash and context of each token; a context's upper bits are its class."""
     low = K.LOWER[raw]
     s, e, first = K.words(low, offs)
     prefix = K.prefix_hash(low)
     h = K.span_hash(prefix, s, e)
     docs = len(offs) - 1
     tail = K.span_hash(prefix, np.maximum(s, e - 3), e)
-    after = _END_KIND[low[e - 1]] * ENDINGS + (tail % K.U64(ENDINGS)).astype(np.int64) if len(s) else np.zeros(0, np.int64)
+    leaf = (_END_KIND[low[e - 1]] * ENDINGS + (tail % K.U64(ENDINGS)).astype(np.int64)) if len(s) else np.zeros(0, np.int64)
+    after = (leaf << SUB) | (h >> K.U64(40)).astype(np.int64) & ((1 << SUB) - 1)
     count = np.diff(first)
     doc = np.repeat(np.arange(docs), count + 1)
     word = np.full(len(doc), END, dtype=K.U64)
-    leaf = np.zeros(len(doc), dtype=np.int64)  # kind 0: the start of a text
+    context = np.zeros(len(doc), dtype="<u4")  # of kind 0: the start of a text
     at = np.arange(len(h)) + np.repeat(np.arange(docs), count)
     word[at] = h
-    leaf[at + 1] = after  # each word precedes the next token of its document
-    return doc, word, leaf
+    context[at + 1] = after  # each word precedes the next token of its document
+    return doc, word, context
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["part", "kind", "data"])
+def _row(part: int, kind: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["part", "kind", "data"])
 
 
-def _sum(word: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Counts of distinct (word, leaf), ordered by both."""
-    order = np.lexsort((leaf, word))
-    word, leaf, n = word[order], leaf[order], n[order]
-    if not len(word):
-        return word, leaf, n
-    at = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (leaf[1:] != leaf[:-1])]))
-    return word[at], leaf[at], np.add.reduceat(n, at)
+def _blob(*arrays: np.ndarray) -> bytes:
+    return np.array([len(arrays), *(len(a) for a in arrays)], "<u8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _count(parts: int, most: int = 3 << 20):
+def _unblob(data, dtypes: tuple) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    out, at = [], 8 * (n + 1)
+    for size, d in zip(np.frombuffer(data, "<u8", n, 8).tolist(), dtypes):
+        out.append(np.frombuffer(data, d, size, at))
+        at += size * np.dtype(d).itemsize
+    return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.concatenate([first, [n]]))
+
+
+class Table:
+    """Keys by a direct-mapped table; of keys that meet in a slot the last stays."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        self.shift, self.slots = K.U64(64 - bits), np.full(1 << bits, -1, dtype=np.int32)
+        self.keys = keys if len(keys) else np.zeros(1, K.U64)
+        self.slots[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (K.mix(keys) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        i = self.slots[self.slot(keys)]
+        return np.where((i >= 0) & (self.keys[i] == keys), i, -1)
+
+
+class Hot:
+    """The most frequent words, with their counts; P: their probability in each class, a matrix for each sample."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((words, counts))
+        table_ = Table(words[order], 18)
+        kept = np.sort(table_.slots[table_.slots >= 0])
+        self.table = Table(words[order][kept], 18)
+        self.words, self.counts, self.p = words[order][kept], counts[order][kept], []
+
+
+def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return K.mix(word) ^ K.mix(context.astype(K.U64) + K.U64(1))
+
+
+def _parts_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    return (np.where(hot, pair_keys(word, context), word) % K.U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+
+
+def _count_words(parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, deal = [], 0, K.Dealer(parts)
 
         def send():
-            w, leaf, n = _sum(*(np.concatenate(x) for x in zip(*held)))
-            for p, v in [*deal.add((w % K.U64(parts)).astype(np.int64), w, leaf.astype("u1"), n.astype("<u4")), *deal.flush()]:
-                yield _batch([(p, 0, v)])
+            w = np.sort(np.concatenate(held))
+            first = _starts(w)
+            for p, v in [*deal.add((w[first] % K.U64(parts)).astype(np.int64), w[first], _lengths(first, len(w)).astype("<u4")), *deal.flush()]:
+                yield _row(p, 0, v)
 
-        for batch in it:
+        for batch in batches(it):
             for _, _, raw, offs in K.pieces(batch.column(0)):
-                _, w, leaf = tokens(raw, offs)
-                held.append(_sum(w, leaf.astype("u1"), np.ones(len(w), np.int64)))
-                size += len(held[-1][0])
-                if size > most:
+                held.append(tokens(raw, offs)[1])
+                size += len(held[-1])
+                if size > 2 * FLUSH:
                     yield from send()
                     held, size = [], 0
         if size:
@@ -113,295 +166,604 @@ def _count(parts: int, most: int = 3 << 20):
     return run
 
 
+def _ranks(n: np.ndarray) -> np.ndarray:
+    """Counts by eighths of their logarithm."""
+    return np.minimum(np.int64(8) * np.log2(np.maximum(n, 1)), 511).astype(np.int64)
+
+
+def _sum_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts (kind 0); tokens, words and words by rank (kind 1)."""
+    found = [x.as_buffer() for batch in it for x in batch.column(2)]
+    if not found:
+        return
+    w, n = K.gather(found, ("<u8", "<u4"))
+    order = np.argsort(w)
+    w, n = w[order], n[order].astype(np.int64)
+    first = _starts(w)
+    n = np.add.reduceat(n, first)
+    yield _row(0, 0, K.pack(w[first], n))
+    yield _row(0, 1, np.concatenate([[n.sum(), len(n)], np.bincount(_ranks(n), minlength=512)]).astype("<f8").tobytes())
+
+
+def _above(ranks: np.ndarray, most: int) -> int:
+    """The least rank with at most so many above it."""
+    above = np.cumsum(ranks[::-1])[::-1]
+    return int(np.argmax(above <= most)) if (above <= most).any() else 512
+
+
+def _csr(key: np.ndarray, word: np.ndarray, *more: np.ndarray) -> bytes:
+    """Rows ordered by word: each word once."""
+    first = _starts(word)
+    return _blob(word[first], _lengths(first, len(word)).astype("<u4"), key, *more)
+
+
+def _count_pairs(parts: int, hot_):
+    """Distinct (word, context) with their counts, dealt by word, of frequent words by both."""
+    names = K.spread(parts)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, words, contexts, size = hot_.value, [], [], 0
+
+        def send():
+            w, c = np.concatenate(words), np.concatenate(contexts)
+            order = np.argsort((w & _HIGH) | c)
+            w, c = w[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
+            n = _lengths(first, len(w)).astype("<u4")
+            w, c = w[first], c[first]
+            p = _parts_of(w, c, hot.table.find(w) >= 0, parts)
+            order = np.argsort(p, kind="stable")
+            w, c, n, p = w[order], c[order], n[order], p[order]
+            cuts = _starts(p)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)]):
+                yield _row(int(names[p[a]]), 0, _csr(c[a:b], w[a:b], n[a:b]))
+
+        for batch in batches(it):
+            for _, _, raw, offs in K.pieces(batch.column(0)):
+                _, w, c = tokens(raw, offs)
+                words.append(w)
+                contexts.append(c)
+                size += len(w)
+                if size > FLUSH:
+                    yield from send()
+                    words.clear()
+                    contexts.clear()
+                    size = 0
+        if size:
+            yield from send()
+
+    return run
+
+
+def _dense(kind: int, index: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums by context, cut in ranges: small numbers as bytes, others apart."""
+    x = x.astype(np.int64)
+    width = CONTEXTS // RANGES
+    for r in range(RANGES):
+        part = x[r * width : (r + 1) * width]
+        big = np.flatnonzero(part > 255)
+        small = part.astype(np.uint8)
+        small[big] = 0
+        yield _row(index * RANGES + r, kind, _blob(np.frombuffer(zlib.compress(small.tobytes(), 1), np.uint8), big.astype("<u4"), part[big]))
+
+
+def _reduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of what parts send: numbers (kind 1), sums by context (kind 2), cells of frequent words (kind 3)."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    cells: dict[int, list] = {}
+    for batch in it:
+        for p, kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            data = x.as_buffer()
+            if kind == 3:
+                cells.setdefault(p, []).append(data)
+                continue
+            if kind == 1:
+                value = np.frombuffer(data, "<f8")
+            else:
+                small, at, big = _unblob(data, ("u1", "<u4", "<i8"))
+                value = np.frombuffer(zlib.decompress(small), np.uint8).astype(np.int64)
+                value[at] = big
+            sums[p, kind] = sums[p, kind] + value if (p, kind) in sums else value
+    for (p, kind), value in sums.items():
+        yield _row(p, kind, value.astype("<f8" if kind == 1 else "<f4").tobytes())
+    for p, found in cells.items():
+        s, w, leaf, n = K.gather(found, ("u1", "<u8", "u1", "<u8"))
+        order = np.lexsort((leaf, w, s))
+        s, w, leaf, n = s[order], w[order], leaf[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (leaf[1:] != leaf[:-1]) | (s[1:] != s[:-1])]))
+        yield _row(p, 3, K.pack(s[first], w[first], leaf[first], np.add.reduceat(n, first)))
+
+
 class Level:
-    """Dishes of the restaurants of one level within a part: customers and tables of each."""
+    """Dishes of the restaurants of one level: customers and tables of each."""
 
-    def __init__(self, rest: np.ndarray, up: np.ndarray | None, customers: np.ndarray, rng):
-        self.rest, self.up, self.rng = rest, up, rng
+    def __init__(self, key: np.ndarray, rest: np.ndarray, up: np.ndarray | None, customers: np.ndarray):
+        self.key, self.rest, self.up = key, rest, up
         self.c = customers.astype(np.int64)
         self.t = np.minimum(self.c, 1)
 
-    def seat(self, fresh: np.ndarray, d: float) -> None:
+    def seat(self, fresh: np.ndarray, d: float, step: int) -> None:
         """All customers of each dish come in anew; fresh: weight of a new table, but for d."""
         self.t = np.minimum(self.c, 1)
         n, at = 1, np.flatnonzero(self.c > 1)
         while len(at):
             m = np.minimum(1 if n < SINGLE else n // 16, self.c[at] - n)
             seated = np.maximum(n + (m - 1) / 2 - d * self.t[at], 1 - d)
-            self.t[at] += self.rng.binomial(m, fresh[at] / (fresh[at] + seated))
+            p = fresh[at] / (fresh[at] + seated)
+            self.t[at] += drawn(m, p, self.key[at], step * 4096 + min(n, 4095) if n < SINGLE else step * 4096 + 64 + int(np.log2(n) * 12))
             n += 1 if n < SINGLE else n // 16
             at = at[self.c[at] > n]
 
 
-class Totals:
-    """Customers and tables of each restaurant, of all parts; discounts by level."""
+def uniform(key: np.ndarray, step: int) -> np.ndarray:
+    return ((K.mix(key ^ K.mix(np.array([step], K.U64) + K.U64(0x5851F42D4C957F2D))) >> K.U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def drawn(m: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
+    """How many of m customers open a table: binomial, by its mean and variance where m > 1."""
+    u = uniform(key, 2 * step)
+    if not len(m) or m.max() == 1:
+        return (u < p).astype(np.int64)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(key, 2 * step + 1))
+    x = np.clip(m * p + z * np.sqrt(m * p * (1 - p)), 0, m)
+    return np.minimum(np.floor(x) + (uniform(key, 2 * step + 2) < x - np.floor(x)), m).astype(np.int64)
+
+
+def ladder(key: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of distinct sorted keys (word, context), from the root down, every dish with one table."""
+    out: list[Level] = []
+    shifts, keys, ups = (0, SUB, SUB + 4, BITS), [key], []
+    for a, b in zip(shifts, shifts[1:]):
+        k = keys[-1] >> K.U64(b - a)
+        first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        ups.append(np.cumsum(first) - 1)
+        keys.append(k[first])
+    rests = [(key & ~_HIGH).astype(np.int64), (keys[1] & K.U64(127)).astype(np.int64), (keys[2] & K.U64(7)).astype(np.int64), np.zeros(len(keys[3]), np.int64)]
+    customers = n
+    for i in range(4):
+        level = Level(K.mix(keys[i] + K.U64(i)), rests[i], ups[i] if i < 3 else None, customers)
+        level.raw = keys[i] << K.U64(shifts[i])
+        out.append(level)
+        if i < 3:
+            customers = np.bincount(ups[i], weights=level.t, minlength=len(keys[i + 1]))
+    return out[::-1]
 
-    def __init__(self, c: list[np.ndarray], t: list[np.ndarray], d: list[float], vocabulary: int):
-        self.c, self.t, self.d, self.base = c, t, d, 1.0 / (vocabulary + 1)
 
-    def back(self, level: int) -> np.ndarray:
-        """What each restaurant leaves to its parent."""
-        return (STRENGTH + self.d[level] * self.t[level]) / (STRENGTH + self.c[level])
+SIZES = (1, KINDS, LEAVES)
+HEAD = sum(SIZES)
 
-    def own(self, level: int, rest, c, t):
-        return np.maximum(c - self.d[level] * t, 0) / (STRENGTH + self.c[level][rest])
 
+def sums_of(levels: list[Level]) -> np.ndarray:
+    """Customers, then tables, of the restaurants above the contexts."""
+    return np.concatenate([*(np.bincount(x.rest, weights=x.c, minlength=m) for x, m in zip(levels, SIZES)), *(np.bincount(x.rest, weights=x.t, minlength=m) for x, m in zip(levels, SIZES))])
 
-def _levels(word: np.ndarray, leaf: np.ndarray, n: np.ndarray, rng) -> tuple[np.ndarray, list[Level]]:
-    """Levels from the root down, every dish with one table."""
-    words, w = np.unique(word, return_inverse=True)
-    kinds, k = np.unique(w * KINDS + leaf.astype(np.int64) // ENDINGS, return_inverse=True)
-    root = Level(np.zeros(len(words), np.int64), None, np.bincount(kinds // KINDS, minlength=len(words)), rng)
-    middle = Level(kinds % KINDS, kinds // KINDS, np.bincount(k, minlength=len(kinds)), rng)
-    return words, [root, middle, Level(leaf.astype(np.int64), k, n, rng)]
 
+class Totals:
+    """Customers and tables of each restaurant, of all parts; discounts by level, the root's first."""
 
-SIZES = (1, KINDS, LEAVES)
+    def __init__(self, head: np.ndarray, c: np.ndarray, t: np.ndarray, d: list[float], vocabulary: int):
+        cut = np.cumsum(SIZES)[:-1]
+        self.c, self.t = [*np.split(head[:HEAD], cut), c], [*np.split(head[HEAD:], cut), t]
+        self.d, self.base = d, 1.0 / (vocabulary + 1)
 
+    def back(self, level: int, rest=slice(None)) -> np.ndarray:
+        """What restaurants leave to their parent."""
+        return (STRENGTH + self.d[level] * self.t[level][rest].astype(np.float64)) / (STRENGTH + self.c[level][rest])
 
-def _tables(levels: list[Level]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.bincount(x.rest, weights=x.c, minlength=m) for x, m in zip(levels, SIZES)], [np.bincount(x.rest, weights=x.t, minlength=m) for x, m in zip(levels, SIZES)]
+    def own(self, level: int, rest, c, t):
+        return np.maximum(c - self.d[level] * t, 0) / (STRENGTH + self.c[level][rest].astype(np.float64))
+
+    def fresh(self, level: int, rest) -> np.ndarray:
+        return STRENGTH + self.d[level] * self.t[level][rest].astype(np.float64)
 
 
-def _chain(levels: list[Level], totals: Totals) -> list[np.ndarray]:
-    """Predictive probability of each dish at each level."""
+def chain(levels: list[Level], totals: Totals) -> list[np.ndarray]:
+    """Predictive probability of each dish at each level above the contexts."""
     out, above = [], None
-    for i, x in enumerate(levels):
+    for i, x in enumerate(levels[:3]):
         parent = totals.base if above is None else above[x.up]
         above = totals.own(i, x.rest, x.c, x.t) + totals.back(i)[x.rest] * parent
         out.append(above)
     return out
 
 
-def sweep(levels: list[Level], totals: Totals, steps: int) -> None:
-    """Seat all customers of every dish anew, ``steps`` times."""
-    for _ in range(steps):
-        chain = _chain(levels, totals)
-        for i in range(len(levels) - 1, -1, -1):
-            x = levels[i]
-            parent = chain[i - 1][x.up] if i else totals.base
-            x.seat((STRENGTH + totals.d[i] * totals.t[i][x.rest]) * parent, totals.d[i])
-            if i:
-                levels[i - 1].c = np.bincount(x.up, weights=x.t, minlength=len(levels[i - 1].rest)).astype(np.int64)
-
-
-def sampled(levels: list[Level], totals: Totals, parts: int, burn_in: int, samples: int, steps: int) -> Iterator[tuple]:
-    """Customers and tables after each sample; burn-in goes on until a round changes the tables by a hundredth or by chance."""
-    c0, t0 = c, t = _tables(levels)
-    s, left = 0, samples
-    while left:
-        before = sum(x.sum() for x in t)
-        now = Totals([a + parts * (y - z) for a, y, z in zip(totals.c, c, c0)], [a + parts * (y - z) for a, y, z in zip(totals.t, t, t0)], totals.d, round(1 / totals.base) - 1)
-        sweep(levels, now, steps)
-        c, t = _tables(levels)
-        s, after = s + 1, sum(x.sum() for x in t)
-        if s > burn_in and (left < samples or abs(after - before) <= 0.01 * after + 3 * after**0.5):
-            left -= 1
-            yield c, t
-
-
-def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a part (kind 0), and its numbers (kind 1)."""
-    parts: dict[int, list] = {}
-    for batch in it:
-        for p, x in zip(batch.column(0).to_pylist(), batch.column(2)):
-            parts.setdefault(p, []).append(x.as_buffer())
-    for p, found in parts.items():
-        w, leaf, n = K.gather(found, COUNT)
-        w, leaf, n = _sum(w, leaf, n.astype(np.int64))
-        words, levels = _levels(w, leaf, n, None)
-        c, t = _tables(levels)
-        of_word = np.add.reduceat(n, np.searchsorted(w, words))
-        ranks = np.bincount(np.minimum(np.int64(8) * np.log2(of_word), 511).astype(np.int64), minlength=512)
-        ones = np.array([(x.c == k).sum() for x in levels for k in (1, 2)])
-        yield _batch([(p, 0, K.pack(w, leaf, n.astype("<u8"))), (p, 1, np.concatenate([*c, *t, ones, [n.sum(), len(words)], ranks]).astype("<f8").tobytes())])
+def sweep(levels: list[Level], totals: Totals, step: int) -> None:
+    """Seat all customers of every dish anew."""
+    above = chain(levels, totals)
+    for i in range(len(levels) - 1, -1, -1):
+        x = levels[i]
+        parent = above[i - 1][x.up] if i else totals.base
+        x.seat(totals.fresh(i, x.rest) * parent, totals.d[i], step)
+        if i:
+            levels[i - 1].c = np.bincount(x.up, weights=x.t, minlength=len(levels[i - 1].rest)).astype(np.int64)
+
+
+def _expand(found: list, dtypes: tuple = ("<u8", "<u4", "<u4", "<u4")) -> list[np.ndarray]:
+    """Words, and further columns, of many packed rows."""
+    pieces = [_unblob(x, dtypes) for x in found]
+    return [np.concatenate([np.repeat(x[0], x[1]) for x in pieces]), *(np.concatenate(x) for x in list(zip(*pieces))[2:])]
+
 
+def _cells(deal: K.Dealer, parts: int, sample: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+    """Sums by word and class, dealt by word."""
+    leaf = (context >> SUB).astype(np.int64)
+    first = _starts(word)
+    at = np.repeat(np.arange(len(first)), _lengths(first, len(word))) * LEAVES + leaf
+    total = np.bincount(at, weights=n, minlength=len(first) * LEAVES) if len(at) else np.zeros(0)
+    some = np.flatnonzero(total)
+    w = word[first][some // LEAVES]
+    return list(deal.add((w % K.U64(parts)).astype(np.int64), np.full(len(w), sample, "u1"), w, (some % LEAVES).astype("u1"), total[some].astype("<u8")))
 
-SAMPLE_HEAD = 1 + KINDS + LEAVES
 
+def _sum_pairs(parts: int, hot_):
+    """A part's distinct pairs (kind 0), and what they add to totals (kinds 1 to 3)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in it:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(2)):
+                found.setdefault(p, []).append(x.as_py())
+        for p in list(found):
+            w, c, n = _expand(found.pop(p))
+            order = np.argsort((w & _HIGH) | c)
+            w, c, n = w[order], c[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
+            w, c, n = w[first], c[first], np.add.reduceat(n, first)
+            yield _row(p, 0, _csr(c, w, n.astype("<u4")))
+            hot = hot_.value.table.find(w) >= 0
+            levels = ladder((w & _HIGH)[~hot] | c[~hot], n[~hot])
+            ones = [(n == 1).sum(), (n == 2).sum(), *((x.c == k).sum() for x in levels[:3] for k in (1, 2))]
+            yield _row(0, 1, np.concatenate([sums_of(levels), ones, np.bincount(_ranks(n), minlength=512)]).astype("<f8").tobytes())
+            yield from _dense(2, 0, np.bincount(c, weights=n, minlength=CONTEXTS))
+            yield from _dense(2, 1, np.bincount(c, minlength=CONTEXTS))
+            deal = K.Dealer(parts)
+            for q, v in [*_cells(deal, parts, 0, w[hot], c[hot], np.ones(int(hot.sum()))), *deal.flush()]:
+                yield _row(q, 3, v)
+
+    return run
 
-def _gibbs(totals: Totals, parts: int, burn_in: int, samples: int, steps: int):
-    """Sampled seating of each part (kind 0) and its tables in each sample (kind 1)."""
+
+def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
+    """Sampled seating of each part: its tables (kind 0, of pairs that occur twice or more), and what they add to totals (kinds 1 to 3)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, hot = totals_.value, hot_.value
         for batch in it:
             for p, x in zip(batch.column(0).to_pylist(), batch.column(2)):
-                w, leaf, n = K.unpack(x.as_buffer(), ("<u8", "u1", "<u8"))
-                _, levels = _levels(w, leaf, n, np.random.default_rng([p, 11]))
-                seats, numbers = [], []
-                for c, t in sampled(levels, totals, parts, burn_in, samples, steps):
-                    numbers += [*c, *t]
-                    seats += [x.t.astype("<u4").tobytes() for x in levels]
-                yield _batch([(p, 0, K.pack(w, leaf, n) + b"".join(seats)), (p, 1, np.concatenate(numbers).astype("<f8").tobytes())])
+                w, c, n = _expand([x.as_buffer()])
+                place = hot.table.find(w)
+                cold, warm = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+                levels = ladder((w & _HIGH)[cold] | c[cold], n[cold])
+                top = Level(pair_keys(w[warm], c[warm]), c[warm], None, n[warm])
+                fresh = totals.fresh(3, c[warm]) * hot.p[0][place[warm], c[warm] >> SUB]
+                seats, deal, t, more = [], K.Dealer(parts), np.empty(len(w), np.int64), np.flatnonzero(n > 1)
+                for s in range(burn_in + samples):
+                    sweep(levels, totals, s)
+                    top.seat(fresh, totals.d[3], s)
+                    if s < burn_in:
+                        continue
+                    k = s - burn_in
+                    t[cold], t[warm] = levels[3].t, top.t
+                    seats += [t[more].astype("<u4"), *(x.t[x.c > 1].astype("<u4") for x in levels[2::-1])]
+                    yield _row(k, 1, sums_of(levels).astype("<f8").tobytes())
+                    yield from _dense(2, k, np.bincount(c[more], weights=t[more] - 1, minlength=CONTEXTS))
+                    for q, v in _cells(deal, parts, k, w[warm], c[warm], t[warm]):
+                        yield _row(q, 3, v)
+                for q, v in deal.flush():
+                    yield _row(q, 3, v)
+                if keep:
+                    yield _row(p, 0, _csr(c, w, n, *seats))
 
     return run
 
 
-class Seats:
+class Part:
     """A part's sampled seating, for predictive probabilities."""
 
-    def __init__(self, data, samples: int, totals: list[Totals]):
-        w, leaf, n = K.unpack(data, ("<u8", "u1", "<u8"))
-        self.words, w = np.unique(w, return_inverse=True)
-        self.leaf, self.n = leaf.astype(np.int64), n
-        self.count = np.bincount(w, weights=n, minlength=len(self.words)).astype(np.int64)
-        kinds, k = np.unique(w * KINDS + self.leaf // ENDINGS, return_inverse=True)
-        at = 8 + len(w) * 17
-        self.key = w * LEAVES + self.leaf
-        self.kinds, self.samples = kinds, []
-        for s in range(samples):
-            t = []
-            for size in (len(self.words), len(kinds), len(w)):
-                t.append(np.frombuffer(data, "<u4", size, at))
-                at += 4 * size
-            # a level's customers are the tables of the level below
-            c0, c1 = np.bincount(kinds // KINDS, weights=t[1], minlength=len(self.words)), np.bincount(k, weights=t[2], minlength=len(kinds))
-            self.samples.append((totals[s], (c0, t[0], c1, t[1], t[2])))
-
-    def probability(self, row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Mean over the samples, of words by row (-1: unknown) in leaves."""
-        known = np.maximum(row, 0)
+    def __init__(self, data, totals: list[Totals], hot: Hot):
+        types = ("<u8", "<u4", "<u4", "<u4")
+        if data is None:
+            data = _blob(*[np.zeros(0, x) for x in [*types, *["<u4"] * (4 * len(totals))]])
+        seats = _unblob(data, (*types, *["<u4"] * (4 * len(totals))))[4:]
+        self.word, self.context, self.n = _expand([data])
+        first = _starts(self.word)
+        self.words, self.count = self.word[first], np.add.reduceat(self.n.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        order = np.argsort(self.words)
+        self.words, self.count = self.words[order], self.count[order]
+        self.key, self.totals, self.hot, self.t, self.above = (self.word & _HIGH) | self.context, totals, hot, [], []
+        cold = hot.table.find(self.word) < 0
+        for k, now in enumerate(totals):
+            t = np.ones(len(self.n), dtype="<u4")
+            t[self.n > 1] = seats[4 * k]
+            self.t.append(t)
+            levels = ladder(self.key[cold], self.n[cold])
+            levels[3].t = t[cold].astype(np.int64)
+            for i in (2, 1, 0):  # a level's customers are the tables below
+                x = levels[i]
+                x.c = np.bincount(levels[i + 1].up, weights=levels[i + 1].t, minlength=len(x.rest)).astype(np.int64)
+                x.t = np.minimum(x.c, 1)
+                x.t[x.c > 1] = seats[4 * k + 3 - i]
+            self.above.append(chain(levels, now))
+        key = self.key[cold]
+        self.keys = [x[_starts(x)] for x in (key >> K.U64(BITS), key >> K.U64(SUB + 4), key >> K.U64(SUB))]
+
+    def probability(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Mean over the samples, of pairs of a word and a context."""
 
         def look(keys, wanted):
-            j = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            return j, (keys[j] == wanted) & (row >= 0) if len(keys) else np.zeros(len(wanted), bool)
-
-        k, has_kind = look(self.kinds, known * KINDS + leaf // ENDINGS)
-        j, has_leaf = look(self.key, known * LEAVES + leaf)
-        out = np.zeros(len(row))
-        for totals, (c0, t0, c1, t1, t2) in self.samples:
-            p = totals.back(0)[0] * totals.base + (np.where(row >= 0, totals.own(0, 0, c0[known], t0[known]), 0) if len(c0) else 0)
-            p = totals.back(1)[leaf // ENDINGS] * p + (np.where(has_kind, totals.own(1, leaf // ENDINGS, c1[k], t1[k]), 0) if len(c1) else 0)
-            p = totals.back(2)[leaf] * p + (np.where(has_leaf, totals.own(2, leaf, self.n[j], t2[j]), 0) if len(t2) else 0)
+            if not len(keys):
+                return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+            j = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return j, keys[j] == wanted
+
+        key, context = (word & _HIGH) | context, context.astype(np.int64)
+        at, seen = look(self.key, key)
+        place, leaf = self.hot.table.find(word), context >> SUB
+        rests = (0, leaf >> 4, leaf)
+        upper = [look(k, key >> K.U64(s)) for k, s in zip(self.keys, (BITS, SUB + 4, SUB))]
+        out = np.zeros(len(word))
+        for k, now in enumerate(self.totals):
+            p = np.full(len(word), now.base)
+            for i, (j, has) in enumerate(upper):
+                p = now.back(i)[rests[i]] * p
+                if len(self.above[k][i]):
+                    p = np.where(has, self.above[k][i][j], p)
+            if len(self.hot.words):
+                p = np.where(place >= 0, self.hot.p[k][np.maximum(place, 0), leaf], p)
+            p = now.back(3, context) * p
+            if len(self.n):
+                p += np.where(seen, now.own(3, context, self.n[at], self.t[k][at]), 0)
             out += p
-        return out / len(self.samples)
+        return out / max(1, len(self.totals))
+
+    def known(self, word: np.ndarray) -> np.ndarray:
+        """Counts of words that are not frequent ones."""
+        if not len(self.words):
+            return np.zeros(len(word), np.int64)
+        j = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[j] == word, self.count[j], 0)
+
+
+def _frequent(hot: Hot, cells: list, sample: int) -> list[Level]:
+    """Levels of the frequent words' dishes above the contexts, from their customers in each class."""
+    rows = [K.unpack(x, ("u1", "<u8", "u1", "<u8")) for x in cells]
+    rows = [[y[x[0] == sample] for y in x[1:]] for x in rows]
+    w, leaf, n = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, K.U64), np.zeros(0, "u1"), np.zeros(0, "<u8"))
+    at = hot.table.find(w).astype(np.int64) * LEAVES + leaf
+    total = np.bincount(at, weights=n, minlength=len(hot.words) * LEAVES)
+    some = np.flatnonzero(total)
+    levels = ladder((some // LEAVES).astype(K.U64) << K.U64(BITS) | (some % LEAVES).astype(K.U64) << K.U64(SUB), total[some].astype(np.int64))[:3]
+    levels[2].c = total[some].astype(np.int64)
+    return levels
+
+
+def _matrix(hot: Hot, levels: list[Level], totals: Totals) -> np.ndarray:
+    """Probability of each frequent word in each class."""
+    above = chain(levels, totals)
+    word = np.arange(len(hot.words))
+    out = np.full((len(word), LEAVES), totals.back(0)[0] * totals.base)
+    leaf = np.arange(LEAVES)
+    by_word, by_kind = np.full(len(word), -1.0), np.full((len(word), KINDS), -1.0)
+    of = lambda i: (levels[i].raw >> K.U64(BITS)).astype(np.int64)
+    by_word[of(0)] = above[0]
+    by_kind[of(1), levels[1].rest] = above[1]
+    out = np.where(by_word[:, None] >= 0, by_word[:, None], out)
+    out = np.where(by_kind[:, leaf >> 4] >= 0, by_kind[:, leaf >> 4], totals.back(1)[leaf >> 4] * out)
+    out = totals.back(2)[leaf] * out
+    out[of(2), levels[2].rest] = above[2]
+    return out
 
 
 class Model:
-    def __init__(self, seats: DataFrame, totals: list[Totals], parts: int, tokens: int, vocabulary: int, hot: tuple):
-        self.seats, self.totals, self.parts, self.tokens, self.vocabulary, self.hot = seats, totals, parts, tokens, vocabulary, hot
+    def __init__(self, seats: DataFrame, totals: list[Totals], parts: int, tokens: int, vocabulary: int, hot: Hot, pairs: tuple):
+        self.seats, self.totals, self.parts, self.tokens, self.vocabulary, self.hot, self.pairs = seats, totals, parts, tokens, vocabulary, hot, pairs
+
+
+def _gathered(rows: DataFrame) -> dict[int, dict[int, bytes]]:
+    """By kind and part: sums of a fixed size, and cells of at most ``HOT`` words."""
+    out: dict[int, dict[int, bytes]] = {1: {}, 2: {}, 3: {}}
+    for r in rows.where("kind > 0").repartition("part", "kind").mapInArrow(_reduce, ROWS).collect():
+        out[r.kind][r.part] = bytes(r.data)
+    return out
 
 
-def _cut(x: np.ndarray) -> list[np.ndarray]:
-    return np.split(x, np.cumsum(SIZES)[:-1])
+def _settled(hot: Hot, got: dict, sample: int, c: np.ndarray, t: np.ndarray, head: np.ndarray, d: list[float], vocabulary: int, sweeps: int) -> tuple[Totals, np.ndarray]:
+    """Totals of all parts and the frequent words' probabilities, their dishes above the contexts seated until they settle."""
+    levels = _frequent(hot, list(got[3].values()), sample)
+    totals = Totals(head + sums_of(levels), c, t, d, vocabulary)
+    for s in range(sweeps):
+        before = sums_of(levels)[HEAD:].sum()
+        sweep(levels, totals, 1000 + s)
+        totals = Totals(head + sums_of(levels), c, t, d, vocabulary)
+        if abs(sums_of(levels)[HEAD:].sum() - before) <= 0.002 * before:
+            break
+    return totals, _matrix(hot, levels, totals)
 
 
-def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int = SAMPLES, steps: int = STEPS) -> Model:
+def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int = HOT_PAIRS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Learn from all rows of texts (text)."""
     ship(spark)
-    parts = partitions(spark)
-    counted = texts.select("text").mapInArrow(_count(parts), ROWS).repartition("part").mapInArrow(_stats, ROWS)
-    counted = written(spark, counted, "language-counts")
-    width = 2 * SAMPLE_HEAD
-    numbers = [np.frombuffer(r.data, "<f8") for r in counted.where("kind = 1").orderBy("part").collect()]  # a few hundred numbers of each part
-    total = np.sum(numbers, axis=0) if numbers else np.zeros(width + 8 + 512)
-    ones, (n, v), ranks = total[width : width + 6], total[width + 6 : width + 8], total[width + 8 :]
-    d = [float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in ones.reshape(3, 2)]
-    start = Totals(_cut(total[:SAMPLE_HEAD]), _cut(total[SAMPLE_HEAD:width]), d, int(v))
-    seats = written(spark, counted.where("kind = 0").mapInArrow(_gibbs(start, parts, burn_in, samples, steps), ROWS), "language-seats")
-    drop(spark, counted)
-    numbers = [np.frombuffer(r.data, "<f8") for r in seats.where("kind = 1").orderBy("part").collect()]
-    total = np.sum(numbers, axis=0) if numbers else np.zeros(samples * width)
-    totals = [Totals(_cut(x[:SAMPLE_HEAD]), _cut(x[SAMPLE_HEAD:]), d, int(v)) for x in total.reshape(samples, width)]
-    seats = seats.where("kind = 0")
-    # the most frequent words: of as many ranks as hold at most ``hot`` words
-    above = np.cumsum(ranks[::-1])[::-1]
-    rank = int(np.argmax(above <= hot)) if (above <= hot).any() else 512
-    sent = spark.sparkContext.broadcast(totals)
+    parts, send = partitions(spark), spark.sparkContext.broadcast
+    texts = texts.select("text")
+    words = written(spark, texts.mapInArrow(_count_words(parts), ROWS).repartition("part").mapInArrow(_sum_words, ROWS), "language-words")
+    total = np.zeros(514)
+    for r in words.where("kind = 1").select("data").mapInArrow(_add_numbers, "data binary").collect():  # one row a task
+        total = total + np.frombuffer(r.data, "<f8")
+    (n, v), rank = total[:2], _above(total[2:], hot)
 
     def frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for x in batch.column(0):
-                part = Seats(x.as_buffer(), samples, sent.value)
-                at = np.flatnonzero(np.minimum(np.int64(8) * np.log2(part.count), 511).astype(np.int64) >= rank)
-                if len(at):
-                    p = part.probability(np.repeat(at, LEAVES), np.tile(np.arange(LEAVES), len(at)))
-                    yield pa.RecordBatch.from_arrays([pa.array([K.pack(part.words[at], part.count[at].astype("<i8")) + np.log10(p).astype("<f4").tobytes()], pa.binary())], ["data"])
-
-    words, counts, logs = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)], [np.zeros((0, LEAVES), "<f4")]
-    for r in seats.select("data").mapInArrow(frequent, "data binary").collect():  # ``hot`` words at most
-        w, c = K.unpack(r.data, ("<u8", "<i8"))
-        words.append(w)
-        counts.append(c)
-        logs.append(np.frombuffer(r.data, "<f4", offset=8 + 16 * len(w)).reshape(-1, LEAVES))
-    words, counts, logs = np.concatenate(words), np.concatenate(counts), np.concatenate(logs)
-    order = np.argsort(words)
-    return Model(seats, totals, parts, int(n), int(v), (words[order], counts[order], logs[order]))
-
-
-TOKEN = ("<u8", "u1", "<u4")
+                w, c = K.unpack(x.as_buffer(), ("<u8", "<i8"))
+                at = _ranks(c) >= rank
+                yield pa.RecordBatch.from_arrays([pa.array([K.pack(w[at], c[at])], pa.binary())], ["data"])
+
+    found = words.where("kind = 0").select("data").mapInArrow(frequent, "data binary").collect()  # ``hot`` words at most
+    common = Hot(*K.gather([r.data for r in found], ("<u8", "<i8")))
+    drop(spark, words)
+    sent = send(common)
+    pairs = texts.mapInArrow(_count_pairs(parts, sent), ROWS).repartition("part").mapInArrow(_sum_pairs(parts, sent), ROWS)
+    pairs = written(spark, pairs, "language-pairs")
+    got = _gathered(pairs)
+    numbers = np.frombuffer(got[1][0], "<f8") if got[1] else np.zeros(2 * HEAD + 8 + 512)
+
+    def dense(k: int) -> np.ndarray:
+        width = CONTEXTS // RANGES
+        return np.concatenate([np.frombuffer(got[2][k * RANGES + r], "<f4") if k * RANGES + r in got[2] else np.zeros(width, "<f4") for r in range(RANGES)])
+
+    c, types = dense(0), dense(1)
+    head, ones, ranks = numbers[: 2 * HEAD], numbers[2 * HEAD : 2 * HEAD + 8].copy(), numbers[2 * HEAD + 8 :]
+    levels = _frequent(common, list(got[3].values()), 0)
+    ones[2:] += [(x.c == k).sum() for x in levels for k in (1, 2)]
+    discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
+    d = [*(discount(*ones[2 + 2 * i : 4 + 2 * i]) for i in range(3)), discount(*ones[:2])]
+    now, matrix = _settled(common, got, 0, c, types, head, d, int(v), 0)
+    # a first round only for what all parts' restaurants hold in total
+    common.p = [matrix]
+    rows = pairs.where("kind = 0")
+    got = _gathered(rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, 1, False), ROWS))
+    if got[1]:
+        now, matrix = _settled(common, got, 0, c, types + dense(0), np.frombuffer(got[1][0], "<f8"), d, int(v), 20)
+    common.p = [matrix]
+    seats = written(spark, rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, samples, True), ROWS), "language-seats")
+    got = _gathered(seats)
+    totals, matrices = [now] * samples, [matrix] * samples
+    if got[1]:
+        both = [_settled(common, got, k, c, types + dense(k), np.frombuffer(got[1][k], "<f8"), d, int(v), 20) for k in range(samples)]
+        totals, matrices = [x for x, _ in both], [x for _, x in both]
+    common.p = matrices
+    drop(spark, pairs)
+    seats = seats.where("kind = 0")
+    rank, all_totals, sent = _above(ranks, hot_pairs), send(totals), send(common)
+
+    def often(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for x in batch.column(0):
+                part = Part(x.as_buffer(), all_totals.value, sent.value)
+                at = np.flatnonzero((_ranks(part.n) >= rank) & (sent.value.table.find(part.word) >= 0))
+                p = part.probability(part.word[at], part.context[at])
+                yield pa.RecordBatch.from_arrays([pa.array([K.pack(pair_keys(part.word[at], part.context[at]), part.n[at].astype("<u8"), np.log10(p))], pa.binary())], ["data"])
+
+    found = K.gather([r.data for r in seats.select("data").mapInArrow(often, "data binary").collect()], ("<u8", "<u8", "<f8"))  # ``hot_pairs`` at most
+    order = np.lexsort((found[0], found[1]))
+    return Model(seats, totals, parts, int(n), int(v), common, (found[0][order], found[2][order]))
+
+
+def _add_numbers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in it:
+        for x in batch.column(0):
+            value = np.frombuffer(x.as_buffer(), "<f8")
+            total = value if total is None else total + value
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+
+
 DOC = ("<i8", "<i8", "u1", "<i8", "<i8", "<f8", "<f8")  # row, id, flags, tokens, known, base, score
 PARTIAL = ("<i8", "<u4", "<f8", "<f8")
 
 
-def _deal_tokens(parts: int, hot, tokens_: int, vocabulary: int):
-    """Rows with what frequent words give them (kind 2, by row), and all other tokens (kind 1, by word)."""
+def _deal_tokens(parts: int, hot_, pairs_, tokens_: int, vocabulary: int):
+    """Rows with what frequent words and pairs give them (kind 2, by row), and all other tokens (kind 1, as the dishes)."""
+    names = K.spread(parts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, logs = hot.value
-        base = np.log10((counts + 1.0) / (tokens_ + vocabulary + 1.0))
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[(words & K.U64((1 << 20) - 1)).astype(np.int64)] = True
-        task = np.int64(TaskContext.get().partitionId()) << np.int64(36)
-        rows, deal, docs = 0, K.Dealer(parts, 12 << 20), K.Dealer(parts, 12 << 20)
+        hot, (keys, logs) = hot_.value, pairs_.value
+        often = Table(keys, 20)
+        base = np.log10((hot.counts + 1.0) / (tokens_ + vocabulary + 1.0))
+        task = np.int64(TaskContext.get().partitionId()) << np.int64(32)
+        rows, docs, size = 0, K.Dealer(parts, 4 << 20), 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send():
+            w, c, row, warm = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort((w & _HIGH) | c)
+            w, c, row, warm = w[order], c[order], row[order], warm[order]
+            p = _parts_of(w, c, warm, parts)
+            order = np.argsort(p, kind="stable")
+            w, c, row, p = w[order], c[order], row[order], p[order]
+            cuts = _starts(p)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)]):
+                yield _row(int(names[p[a]]), 1, _csr(c[a:b], w[a:b], row[a:b], np.array([task])))
+
         for batch in batches(it):
             ids = batch.column(0).cast(pa.int64())
             flags = ids.is_null().to_numpy(zero_copy_only=False).astype("u1") + 2 * batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype("u1")
             ids = ids.fill_null(0).to_numpy()
             for i, j, raw, offs in K.pieces(batch.column(1)):
-                doc, w, leaf = tokens(raw, offs)
-                x = np.flatnonzero(maybe[(w & K.U64((1 << 20) - 1)).astype(np.int64)])
-                k = np.minimum(np.searchsorted(words, w[x]), max(0, len(words) - 1))
-                ok = words[k] == w[x] if len(words) else np.zeros(len(x), bool)
-                x, k = x[ok], k[ok]
+                doc, w, c = tokens(raw, offs)
                 m = j - i
+                place = hot.table.find(w)
+                at = often.find(pair_keys(w, c)) if len(keys) else np.full(len(w), -1)
+                x, y = np.flatnonzero(place >= 0), np.flatnonzero(at >= 0)
                 here = task + rows + np.arange(m)
-                yield from (_batch([(p, 2, v)]) for p, v in docs.add((K.mix(here.view(K.U64)) % K.U64(parts)).astype(np.int64), here, ids[i:j], flags[i:j], np.bincount(doc, minlength=m), np.bincount(doc[x], minlength=m), np.bincount(doc[x], weights=base[k], minlength=m), np.bincount(doc[x], weights=logs[k, leaf[x]], minlength=m)))
-                rare = np.ones(len(w), dtype=bool)
-                rare[x] = False
-                w, leaf, doc = w[rare], leaf[rare], doc[rare]
-                for p, v in deal.add((w % K.U64(parts)).astype(np.int64), w, leaf.astype("u1"), (rows + doc).astype("<u4")):
-                    yield _batch([(p, 1, v + task.tobytes())])
+                for p, v in docs.add((K.mix(here.view(K.U64)) % K.U64(parts)).astype(np.int64), here, ids[i:j], flags[i:j], np.bincount(doc, minlength=m), np.bincount(doc[x], minlength=m), np.bincount(doc[x], weights=base[place[x]] if len(x) else None, minlength=m).astype("<f8"), np.bincount(doc[y], weights=logs[at[y]] if len(y) else None, minlength=m).astype("<f8")):
+                    yield _row(p, 2, v)
+                z = np.flatnonzero(at < 0)
+                held.append((w[z], c[z], (rows + doc[z]).astype("<u4"), place[z] >= 0))
+                size += len(z)
                 rows += m
-        for p, v in deal.flush():
-            yield _batch([(p, 1, v + task.tobytes())])
+                if size > FLUSH:
+                    yield from send()
+                    held.clear()
+                    size = 0
+        if size:
+            yield from send()
         for p, v in docs.flush():
-            yield _batch([(p, 2, v)])
+            yield _row(p, 2, v)
 
     return run
 
 
-def _score_tokens(parts: int, samples: int, totals, tokens_: int, vocabulary: int):
-    """Seats and tokens -> sums of each row and part (kind 3), dealt by row; kind 2 passes."""
+def _score_tokens(parts: int, totals, hot, tokens_: int, vocabulary: int):
+    """Seats and tokens, part by part -> sums of each row and part (kind 3), dealt by row; kind 2 passes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seats: dict[int, Seats] = {}
-        unknown = Seats(K.pack(np.zeros(0, "<u8"), np.zeros(0, "u1"), np.zeros(0, "<u8")), samples, totals.value)
-        sums = K.Dealer(parts, 12 << 20)
+        now, part, sums = None, None, K.Dealer(parts, 12 << 20)
+        held, size = [], 0
+
+        def score():
+            w, c = _expand([x for x in held], ("<u8", "<u4", "<u4", "<u4", "<i8"))[:2]
+            row = np.concatenate([x[3] + x[4][0] for x in (_unblob(y, ("<u8", "<u4", "<u4", "<u4", "<i8")) for y in held)])
+            order = np.argsort((w & _HIGH) | c)
+            w, c, row = w[order], c[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
+            n = _lengths(first, len(w))
+            w, c = w[first], c[first]
+            logs = np.repeat(np.log10(part.probability(w, c)), n)
+            count, warm = part.known(w), hot.value.table.find(w) >= 0
+            base = np.repeat(np.where(warm, 0.0, np.log10((count + 1.0) / (tokens_ + vocabulary + 1.0))), n)
+            known = np.repeat((count > 0) & ~warm, n)
+            order = np.argsort(row, kind="stable")
+            row, logs, base, known = row[order], logs[order], base[order], known[order]
+            first = _starts(row)
+            here = row[first]
+            return sums.add((K.mix(here.view(K.U64)) % K.U64(parts)).astype(np.int64), here, np.add.reduceat(known, first, dtype=np.int64).astype("<u4"), np.add.reduceat(base, first), np.add.reduceat(logs, first))
+
         for batch in it:
             for p, kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if kind == 0:
-                    seats[p] = Seats(x.as_buffer(), samples, totals.value)
-                    continue
                 if kind == 2:
-                    yield _batch([(p, 2, x.as_py())])
+                    yield _row(p, 2, x.as_py())
                     continue
-                data = x.as_buffer()
-                w, leaf, row = K.unpack(data, TOKEN)
-                task = np.frombuffer(data, "<i8", 1, len(data) - 8)[0]
-                part = seats.get(p, unknown)
-                k = np.minimum(np.searchsorted(part.words, w), max(0, len(part.words) - 1))
-                k = np.where(part.words[k] == w, k, -1) if len(part.words) else np.full(len(w), -1)
-                pair, back = np.unique((k + 1) * LEAVES + leaf, return_inverse=True)
-                logs = np.log10(part.probability(pair // LEAVES - 1, pair % LEAVES))[back]
-                count = part.count[np.maximum(k, 0)] * (k >= 0) if len(part.words) else np.zeros(len(w))
-                base = np.log10((count + 1.0) / (tokens_ + vocabulary + 1.0))
-                rows, at = np.unique(row, return_inverse=True)
-                here = task + rows.astype(np.int64)
-                for q, v in sums.add((K.mix(here.view(K.U64)) % K.U64(parts)).astype(np.int64), here, np.bincount(at, weights=k >= 0).astype("<u4"), np.bincount(at, weights=base), np.bincount(at, weights=logs)):
-                    yield _batch([(q, 3, v)])
+                if p != now:
+                    if held:
+                        yield from (_row(q, 3, v) for q, v in score())
+                        held, size = [], 0
+                    now, part = p, None
+                if kind == 0:
+                    part = Part(x.as_buffer(), totals.value, hot.value)
+                    continue
+                if part is None:
+                    part = Part(None, totals.value, hot.value)
+                held.append(x.as_py())
+                size += len(held[-1])
+                if size > 8 << 20:
+                    yield from (_row(q, 3, v) for q, v in score())
+                    held, size = [], 0
+        if held:
+            yield from (_row(q, 3, v) for q, v in score())
         for q, v in sums.flush():
-            yield _batch([(q, 3, v)])
+            yield _row(q, 3, v)
 
     return run
 
@@ -426,10 +788,11 @@ def _add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(spark: SparkSession, model: Model, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship(spark)
-    hot, totals = spark.sparkContext.broadcast(model.hot), spark.sparkContext.broadcast(model.totals)
-    dealt = docs.select("doc_id", "text", "held_out").mapInArrow(_deal_tokens(model.parts, hot, model.tokens, model.vocabulary), ROWS)
-    met = model.seats.unionByName(dealt).repartition("part").sortWithinPartitions("kind")
-    sums = met.mapInArrow(_score_tokens(model.parts, len(model.totals), totals, model.tokens, model.vocabulary), ROWS)
+    send = spark.sparkContext.broadcast
+    hot, totals, pairs = send(model.hot), send(model.totals), send(model.pairs)
+    dealt = docs.select("doc_id", "text", "held_out").mapInArrow(_deal_tokens(model.parts, hot, pairs, model.tokens, model.vocabulary), ROWS)
+    met = model.seats.unionByName(dealt).repartition("part").sortWithinPartitions("part", "kind")
+    sums = met.mapInArrow(_score_tokens(model.parts, totals, hot, model.tokens, model.vocabulary), ROWS)
     out = sums.repartition("part").mapInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

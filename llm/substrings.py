@@ -167,7 +167,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = _doc_ids(batch.column(0))
-            part = slice_of(ids, parts)
+            part = K.spread(parts)[slice_of(ids, parts)]
             text = batch.column(1)
             text = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(ids), 2), pa.int32()), text, pa.array(ids, pa.int64())], ["part", "kind", "data", "doc"])
@@ -184,6 +184,8 @@ def _meet(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 def _fetch(parts: int, length: int):
     """Asked-for runs and documents -> the runs' bytes, dealt by anchor."""
 
+    names = K.spread(parts)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, at, order = [], None, None
         for batch in it:
@@ -206,7 +208,7 @@ def _fetch(parts: int, length: int):
                 text = batch.column(2)[k].as_py() or b""
                 for q in range(lo, hi):
                     s, m = int(a[q]), int(n[q]) - 1 + length
-                    rows.setdefault(int(h[q] % K.U64(parts)), []).append((int(h[q]), doc, s, text[s : s + m]))
+                    rows.setdefault(int(names[int(h[q] % K.U64(parts))]), []).append((int(h[q]), doc, s, text[s : s + m]))
             out = []
             for p, x in rows.items():
                 hs, ds, ss, ts = zip(*x)
