@@ -17,8 +17,8 @@ the number of tables matters to predictions, and whether a customer opens one de
 only on how many sit and on the tables so far, so that number is drawn without sizes;
 customers after the first ``SINGLE`` come in blocks of a sixteenth of those seated.
 Chance comes from hashes of the dish and the step, and restaurants' totals are
-exchanged between rounds (first ``BURN_IN`` sweeps, then as many and ``SAMPLES``), so
-scores do not depend on how words are dealt. Predictive probabilities are averaged over
+exchanged between rounds, until a round changes their tables by a tenth at most (or after
+``ROUNDS_MOST``); so scores do not depend on how words are dealt. Predictive probabilities are averaged over
 the samples. Discounts come from the counts of counts, over all training tokens.
 
 Words are dealt over parts by hash, with all their dishes. The most frequent words (at
@@ -48,6 +48,7 @@ KINDS, ENDINGS, SUB, BITS = 5, 16, 15, 22
 LEAVES = KINDS * ENDINGS
 CONTEXTS, RANGES = LEAVES << SUB, 16
 BURN_IN, SAMPLES = 1, 2
+ROUNDS_MOST, SETTLED = 8, 0.1
 SINGLE = 64
 STRENGTH = 0.5
 HOT, HOT_PAIRS = 1 << 14, 1 << 17
@@ -300,13 +301,25 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
 
 
 def drawn(m: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
-    """How many of m customers open a table: binomial, by its mean and variance where m > 1."""
+    """How many of m customers open a table: binomial, by inversion, or normal where eight or more are expected."""
     u = uniform(key, 2 * step)
     if not len(m) or m.max() == 1:
         return (u < p).astype(np.int64)
-    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(key, 2 * step + 1))
-    x = np.clip(m * p + z * np.sqrt(m * p * (1 - p)), 0, m)
-    return np.minimum(np.floor(x) + (uniform(key, 2 * step + 2) < x - np.floor(x)), m).astype(np.int64)
+    out = np.zeros(len(m), np.int64)
+    many = m * p >= 8
+    if many.any():
+        v, q = uniform(key[many], 2 * step + 1), p[many]
+        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * v)
+        out[many] = np.clip(np.rint(m[many] * q + z * np.sqrt(m[many] * q * (1 - q))), 0, m[many]).astype(np.int64)
+    few = np.flatnonzero(~many)
+    chance = (1 - p[few]) ** m[few]
+    left, k = u[few] - chance, 0
+    while len(few := few[left >= 0]) and k < 60:
+        chance, left, k = chance[left >= 0], left[left >= 0], k + 1
+        out[few] = np.minimum(k, m[few])
+        chance = chance * np.maximum(m[few] - k + 1, 0) / k * p[few] / (1 - p[few])
+        left = left - chance
+    return out
 
 
 def ladder(key: np.ndarray, n: np.ndarray) -> list[Level]:
@@ -618,12 +631,16 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
     discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
     d = [*(discount(*ones[2 + 2 * i : 4 + 2 * i]) for i in range(3)), discount(*ones[:2])]
     now, matrix = _settled(common, got, 0, c, types, head, d, int(v), 0)
-    # a first round only for what all parts' restaurants hold in total
-    common.p = [matrix]
+    # rounds only for what all parts' restaurants hold in total, until that settles
     rows = pairs.where("kind = 0")
-    got = _gathered(rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, 1, False), ROWS))
-    if got[1]:
+    for _ in range(ROUNDS_MOST):
+        before, common.p = sum(float(x.sum()) for x in now.t), [matrix]
+        got = _gathered(rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, 1, False), ROWS))
+        if not got[1]:
+            break
         now, matrix = _settled(common, got, 0, c, types + dense(0), np.frombuffer(got[1][0], "<f8"), d, int(v), 20)
+        if abs(sum(float(x.sum()) for x in now.t) - before) <= SETTLED * before:
+            break
     common.p = [matrix]
     seats = written(spark, rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, samples, True), ROWS), "language-seats")
     got = _gathered(seats)

@@ -1,12 +1,14 @@
 import numpy as np
+import pytest
 
+from llm import kernels as K
 from llm import pitman_yor as P
 
 
 def test_all_customers_of_a_dish_are_seated_anew():
     n, d, fresh = 20_000, 0.5, 2.0
-    x = P.Level(np.zeros(200, np.int64), None, np.full(200, n), np.random.default_rng(1))
-    x.seat(np.full(200, fresh), d)
+    x = P.Level(K.mix(np.arange(200, dtype=K.U64)), np.zeros(200, np.int64), None, np.full(200, n))
+    x.seat(np.full(200, fresh), d, 3)
     r, want = np.random.default_rng(2), []
     for _ in range(20):
         u, t = r.random(n), 1
@@ -14,14 +16,27 @@ def test_all_customers_of_a_dish_are_seated_anew():
             t += u[i] * (fresh + i - d * t) < fresh
         want.append(t)
     assert x.t.mean() > 10 and abs(x.t.mean() - np.mean(want)) < 4 * np.std(want) / 20**0.5
+    before = x.t.copy()
+    x.seat(np.full(200, fresh), d, 4)
+    assert (before != x.t).mean() > 0.5
 
 
 def test_tables_settle():
     r = np.random.default_rng(3)
-    word, leaf = np.repeat(np.arange(300, dtype="<u8"), 80), np.tile(np.arange(80), 300)
-    n = r.integers(1, 2000, len(word))
-    _, levels = P._levels(word, leaf, n, np.random.default_rng(4))
-    c, t = P._tables(levels)
-    seen = [t[2].sum() for _, t in P.sampled(levels, P.Totals(c, t, [0.5] * 3, 300), 1, P.BURN_IN, 20, P.STEPS)]
-    assert (levels[1].c == np.bincount(levels[2].up, weights=levels[2].t)).all()
-    assert abs(seen[0] / np.mean(seen[-10:]) - 1) < 0.02 and levels[2].t.max() > 10
+    word, context = np.repeat(np.arange(300, dtype="<u8") << K.U64(P.BITS), 80), np.tile(np.arange(80, dtype=np.int64) << P.SUB, 300)
+    levels = P.ladder(word | context.astype(K.U64), np.minimum(r.zipf(2, len(word)), 2000))
+    c = np.bincount(context, weights=levels[3].c, minlength=P.CONTEXTS)
+    seen = []
+    for s in range(24):
+        t = np.bincount(context, weights=levels[3].t, minlength=P.CONTEXTS)
+        P.sweep(levels, P.Totals(P.sums_of(levels), c, t, [0.5] * 4, 300), s)
+        seen.append(levels[3].t.sum())
+    for x, below in zip(levels, levels[1:]):
+        assert (x.c == np.bincount(below.up, weights=below.t)).all() and (x.t <= x.c).all()
+    assert abs(seen[10] / np.mean(seen[-6:]) - 1) < 0.05 and levels[3].t.max() > 10
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 51, 211])
+def test_parts_are_spread_evenly(parts):
+    names = K.spread(parts)
+    assert sorted((K._murmur(names).astype(np.int64) % parts).tolist()) == list(range(parts))

@@ -172,12 +172,27 @@ def test_language_model(spark, docs):
         assert got[i].base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tokens))
         assert got[i].score < 0
     # probabilities of all words and of the unknown one add up to 1 in every context
-    parts = [pitman_yor.Seats(r.data, len(model.totals), model.totals) for r in model.seats.select("data").collect()]
-    unknown = parts[0].probability(np.full(pitman_yor.LEAVES, -1), np.arange(pitman_yor.LEAVES))
-    total = unknown + sum(p.probability(np.repeat(np.arange(len(p.words)), pitman_yor.LEAVES), np.tile(np.arange(pitman_yor.LEAVES), len(p.words))).reshape(-1, pitman_yor.LEAVES).sum(axis=0) for p in parts)
-    assert total == pytest.approx(np.ones(pitman_yor.LEAVES), abs=1e-6)
-    again = {r.doc_id: r.score for r in pitman_yor.score(spark, pitman_yor.train(spark, frame.where("not held_out"), hot=0), frame).collect()}
-    assert again == pytest.approx({i: r.score for i, r in got.items()}, rel=1e-5)
+    parts = [pitman_yor.Part(r.data, model.totals, model.hot) for r in model.seats.select("data").collect()]
+    assert len(model.hot.words) and len(model.pairs[0])
+
+    def probability(word, context):
+        return np.max([p.probability(word, context) for p in parts], axis=0)  # other parts know less of a word
+
+    words = np.unique(np.concatenate([p.word for p in parts]))
+    for c in np.unique(np.concatenate([p.context for p in parts]))[::7].tolist():
+        context = np.full(len(words) + 1, c, dtype="<u4")
+        assert probability(np.append(words, np.uint64(12345)), context).sum() == pytest.approx(1, abs=1e-6)
+    for i, t in rows[::5]:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        _, w, c = pitman_yor.tokens(raw, np.array([0, len(raw)]))
+        assert got[i].score == pytest.approx(np.log10(probability(w, c)).sum())
+    # neither how frequent words are sent nor the number of parts matters
+    again = {r.doc_id: r.score for r in pitman_yor.score(spark, pitman_yor.train(spark, frame.where("not held_out"), hot=50, hot_pairs=0), frame).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()})
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = {r.doc_id: r.score for r in pitman_yor.score(spark, pitman_yor.train(spark, frame.where("not held_out"), hot=50), frame).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == pytest.approx({i: r.score for i, r in got.items()})
 
 
 def test_language_model_without_training(spark, docs):
