@@ -191,7 +191,8 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple
     block, n = [], 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").toLocalIterator():
         block.append((r.item, r.text))
-        n += max(1, len((r.text or "").split()) - window + 1)
+        raw = np.frombuffer((r.text or "").encode(), dtype=np.uint8)
+        n += max(1, len(text_hashes(raw, np.array([0, len(raw)]))[0]) - window + 1)
         if n >= most:
             yield block
             block, n = [], 0

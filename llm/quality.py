@@ -6,10 +6,9 @@ capitals, digits, marks and symbols, word lengths, repeated words); a gated
 attention (tanh and sigmoid branches) weighs the passages; the weighted passage
 representation is scored. Only document labels are learnt from.
 
-The fit uses at most ``most`` labelled documents (chosen by a hash of the id) and
-at most ``passages_most`` passages of each; scoring uses every passage of every
-text. Rows with a null id or label are not learnt from; where labels of a
-document disagree, their mean counts. Null and empty texts are one passage of
+The fit uses at most ``most`` labelled documents (chosen by a hash of the id); fit and
+scoring use every passage of each text. Rows with a null id or label are not learnt from; where labels of a
+document disagree, their mean counts; a null id is not held out. Null and empty texts are one passage of
 zero features and get the score of that passage. Scores depend on a row's text
 alone. Without labels of both kinds the score is the share of label 1 (0.5
 without any).
@@ -28,7 +27,7 @@ from llm import kernels as K
 from llm.common import batches, crc_mod, ship, table
 
 PASSAGE = 48
-MOST, PASSAGES_MOST = 6000, 64
+MOST = 6000
 THRESHOLD = 0.7
 
 _KINDS = np.zeros(256, dtype=np.uint8)
@@ -158,12 +157,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
             for i, j, raw, offs in K.pieces(batch.column(1)):
                 x, at = features(raw, offs, passage)
                 y = batch.column(0).slice(i, j - i).to_pylist()
-                bags = []
-                for d in range(j - i):
-                    bag = x[at[d] : at[d + 1]]
-                    if len(bag) > PASSAGES_MOST:
-                        bag = bag[np.linspace(0, len(bag) - 1, PASSAGES_MOST).astype(int)]
-                    bags.append(bag.astype("<f4").tobytes())
+                bags = [x[at[d] : at[d + 1]].astype("<f4").tobytes() for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(bags, pa.binary())], ["label", "x"])
 
     got = rows.mapInArrow(run, "label double, x binary").toArrow()
@@ -213,4 +207,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(crc_mod("doc_id", 4) != 2).withColumnRenamed("quality", "label")
     out = score(spark, docs, train(spark, docs, labels), ("doc_id",))
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,22 +1,23 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words are tagged (insult, threat, target, negation, reported speech); transducers
-for negation scope, reported speech and targets are composed into one machine,
-which reads the tags of a clause and scales the weight of each insult or threat:
-less behind a negation or a speech verb, more with a target in the clause. A
-clause counts as matched by its insults and threats together; a document's score
-is a logistic function of its matched clauses.
-
-Insult arcs are words and word beginnings learnt from labelled documents (their
-log odds; at most ``most`` documents, chosen by a hash of the id), beside a small
-fixed list. One half of these documents gives the arcs, the other the logistic
-weights. Null and empty texts match nothing and get the score of no match.
-Rows with null id or label are not learnt from; a document labelled both ways
-counts as toxic. Scores depend on a row's text alone.
+Words are tagged (insult, threat, target, modal, negation, reported speech); transducers
+for insults (a further one in a clause weighs more), threats (more behind a modal),
+targets, negation scope and reported speech are composed into one machine, which reads
+the tags of a clause and scales the weight of each insult or threat. A clause counts as
+matched by its insults and threats together; a document's score is a logistic function of
+its matched clauses, of their weights, and of both by its words.
+
+Insult arcs are words and word beginnings of ``STEMS`` bytes learnt from labelled
+documents (at most ``most``, chosen by a hash of the id), by the log ratio of their mean
+shares of the words of toxic and of clean documents, beside a small fixed list. One half of these documents gives the arcs, the
+other the logistic weights. Null and empty texts match nothing and get the score of no
+match. Rows with null id or label are not learnt from; a document labelled both ways
+counts as toxic; a null id is not held out. Scores depend on a row's text alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import kernels as K
-from llm.common import batches, crc_mod, ship, table
+from llm.common import batches, crc_mod, drop, ship, table, written
 
 MOST = 20_000
-ARCS_MOST = 20_000
-THRESHOLD = 0.5
-STEMS = (5, 6)
+THRESHOLD, PRIOR = 0.5, 0.002
+STEMS = (4, 5, 6, 7)
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "IHTNRO"
+TAGS = "IHTMNRO"
+INSULT, THREAT, TARGET, MODAL, NEGATION, REPORT, OTHER = TAGS
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns dumb".split(),
     THREAT: "kill hurt destroy punish burn smash strangle".split(),
     TARGET: "you your yours he she they him her them his their people everyone".split(),
+    MODAL: "will shall must should gonna going".split(),
     NEGATION: "not no never nobody isn hardly without".split(),
     REPORT: "said says say wrote writes claimed claims reported quoted called alleged".split(),
 }
@@ -56,26 +58,34 @@ class Transducer:
             if state in seen:
                 continue
             seen.add(state)
-            for tag in "IHTNRO":
+            for tag in TAGS:
                 (x, f), (y, g) = self.arcs[a, tag], other.arcs[b, tag]
                 arcs[state, tag] = ((x, y), f * g)
                 todo.append((x, y))
         return Transducer((self.start, other.start), arcs)
 
 
+def _insult() -> Transducer:
+    return Transducer(0, {(s, t): (1 if s or t == INSULT else 0, 1.2 if s and t == INSULT else 1.0) for s in (0, 1) for t in TAGS})
+
+
+def _threat(scope: int = 3) -> Transducer:
+    return Transducer(0, {(s, t): (scope if t == MODAL else max(0, s - 1), 2.0 if s and t == THREAT else 1.0) for s in range(scope + 1) for t in TAGS})
+
+
 def _negation(scope: int = 3) -> Transducer:
-    return Transducer(0, {(s, t): (scope if t == NEGATION else max(0, s - 1), 0.3 if s and t in (INSULT, THREAT) else 1.0) for s in range(scope + 1) for t in "IHTNRO"})
+    return Transducer(0, {(s, t): (scope if t == NEGATION else max(0, s - 1), 0.3 if s and t in (INSULT, THREAT) else 1.0) for s in range(scope + 1) for t in TAGS})
 
 
 def _report() -> Transducer:
-    return Transducer(0, {(s, t): (1 if s or t == REPORT else 0, 0.5 if s and t in (INSULT, THREAT) else 1.0) for s in (0, 1) for t in "IHTNRO"})
+    return Transducer(0, {(s, t): (1 if s or t == REPORT else 0, 0.5 if s and t in (INSULT, THREAT) else 1.0) for s in (0, 1) for t in TAGS})
 
 
 def _target() -> Transducer:
-    return Transducer(0, {(s, t): (1 if s or t == TARGET else 0, {INSULT: 1.3, THREAT: 3.0}.get(t, 1.0) if s else 1.0) for s in (0, 1) for t in "IHTNRO"})
+    return Transducer(0, {(s, t): (1 if s or t == TARGET else 0, {INSULT: 1.3, THREAT: 3.0}.get(t, 1.0) if s else 1.0) for s in (0, 1) for t in TAGS})
 
 
-GRAMMAR = _negation().compose(_report()).compose(_target())
+GRAMMAR = _insult().compose(_threat()).compose(_target()).compose(_negation()).compose(_report())
 
 
 def clause_weight(tagged: list[tuple[str, float, int]], grammar: Transducer = GRAMMAR) -> float:
@@ -120,12 +130,12 @@ class Lexicon:
         ok = (j < len(keys)) & (keys[np.minimum(j, len(keys) - 1)] == h[at]) if len(keys) else np.zeros(len(at), bool)
         return at[ok], j[ok]
 
-    def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[float, float, float]]:
-        """Per document: sum and largest of its clause weights, and matched clauses."""
+    def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[float, float, float, float]]:
+        """Per document: sum and largest of its clause weights, matched clauses, and words."""
         low = K.LOWER[raw]
         s, e, first = K.words(low, offs, K.ALNUM_BREAK)
         prefix = K.prefix_hash(low)
-        out = [(0.0, 0.0, 0.0)] * (len(offs) - 1)
+        out = [(0.0, 0.0, 0.0, float(n)) for n in np.diff(first).tolist()]
         at, row = self._find(K.span_hash(prefix, s, e), self.parts[0])
         found = {p: (self.parts[0][2][r], float(self.parts[0][3][r])) for p, r in zip(at.tolist(), row.tolist())}
         for k, part in zip(STEMS, self.parts[1:]):
@@ -133,7 +143,9 @@ class Lexicon:
                 long = np.flatnonzero(e - s >= k)
                 at, row = self._find(K.span_hash(prefix, s[long], s[long] + k), part)
                 for p, r in zip(long[at].tolist(), row.tolist()):
-                    found.setdefault(p, (INSULT, float(part[3][r])))
+                    tag, weight = found.get(p, (INSULT, 0.0))
+                    if tag == INSULT:
+                        found[p] = (INSULT, max(weight, float(part[3][r])))
         if not found:
             return out
         pos = np.array(sorted(found), dtype=np.int64)
@@ -151,14 +163,15 @@ class Lexicon:
             w = clause_weight([(*found[p], p - q - 1) for p, q in zip(words, [words[0] - 1, *words])])
             if w > 0:
                 d = int(doc[part[0]])
-                a, b, n = out[d]
-                out[d] = (a + w, max(b, w), n + 1)
+                a, b, n, size = out[d]
+                out[d] = (a + w, max(b, w), n + 1, size)
         return out
 
 
-def _inputs(m: list[tuple[float, float, float]]) -> np.ndarray:
-    x = np.array(m, dtype=np.float64).reshape(-1, 3)
-    return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.log1p(x[:, 1]), np.log1p(x[:, 2])])
+def _inputs(m: list[tuple[float, float, float, float]]) -> np.ndarray:
+    x = np.array(m, dtype=np.float64).reshape(-1, 4)
+    share = 100 / (x[:, 3] + 20)
+    return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.log1p(x[:, 1]), np.log1p(x[:, 2]), np.log1p(x[:, 0] * share), np.log1p(x[:, 2] * share)])
 
 
 class Model:
@@ -180,23 +193,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3
 
 
 def _evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each word or beginning, by label: kind (0, or bytes of a beginning), word, toxic, clean."""
-    n: dict[tuple[int, bytes], list[int]] = {}
+    """Each word or beginning by label: kind (0, or bytes of a beginning; -1: documents), word, its shares of the words of toxic and of clean documents in all, toxic documents."""
+    n: dict[tuple[int, bytes], list[float]] = {}
     for batch in it:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             low = (text.as_py() or "").encode().translate(K.LOWER.tobytes())
-            seen: set[tuple[int, bytes]] = set()
-            for w in low.translate(_BLANK).split():
-                seen.add((0, w))
+            seen: Counter[tuple[int, bytes]] = Counter()
+            for w, c in Counter(low.translate(_BLANK).split()).items():
+                seen[0, w] += c
                 for k in STEMS:
                     if len(w) > k:
-                        seen.add((k, w[:k]))
-            for x in seen:
-                n.setdefault(x, [0, 0])[0 if label else 1] += 1
+                        seen[k, w[:k]] += c
+            size = max(1, sum(c for (k, _), c in seen.items() if k == 0))
+            n.setdefault((-1, b""), [0.0, 0.0, 0])[0 if label else 1] += 1
+            for x, c in seen.items():
+                row = n.setdefault(x, [0.0, 0.0, 0])
+                row[0 if label else 1] += c / size
+                row[2] += bool(label)
     rows = [(k, w, *c) for (k, w), c in n.items()]
     for i in range(0, len(rows), 50_000):
         part = list(zip(*rows[i : i + 50_000]))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], ["kind", "word", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.float64()), pa.array(part[3], pa.float64()), pa.array(part[4], pa.int64())], ["kind", "word", "toxic", "clean", "n"])
 
 
 _BLANK = bytes(0x20 if K.ALNUM_BREAK[b] else b for b in range(256))
@@ -209,17 +226,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
     half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2))
-    arcs = rows.where(half == 0).select("label", "text").mapInArrow(_evidence, "kind int, word binary, toxic long, clean long")
-    arcs = arcs.groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = {r.label: r.n for r in clean.join(F.broadcast(chosen.select("doc_id")), "doc_id").where(half == 0).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    t, n = sizes.get(1, 0), sizes.get(0, 0)
-    odds = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (n + 1.0))
-    least = max(3, t // 200)
-    arcs = arcs.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 3").orderBy(F.desc("toxic"), "kind", "word").limit(ARCS_MOST).collect()
+    found = rows.where(half == 0).select("label", "text").mapInArrow(_evidence, "kind int, word binary, toxic double, clean double, n long")
+    found = written(spark, found.groupBy("kind", "word").agg(F.round(F.sum("toxic"), 6).alias("toxic"), F.round(F.sum("clean"), 6).alias("clean"), F.sum("n").alias("n")), "toxicity-evidence")
+    total = found.where("kind < 0").first()
+    t, n = (total.toxic, total.clean) if total else (0, 0)
+    odds = F.log((F.col("toxic") + PRIOR) / (t + 1.0)) - F.log((F.col("clean") + PRIOR) / (n + 1.0))
+    least = max(3, int(t) // 200)
+    arcs = found.where((F.col("n") >= least) & (F.col("kind") >= 0)).withColumn("odds", odds).where("odds > 3").orderBy(F.desc("n"), "kind", "word").collect()  # no more than ``most`` documents give
+    drop(spark, found)
     words = {w: (tag, 4.0) for tag, ws in SEEDS.items() for w in ws}
     stems: dict[int, dict[int, float]] = {k: {} for k in STEMS}
     for r in arcs:
-        weight = min(float(r.odds), 8.0) * min(1.0, r.toxic / (4.0 * least))  # a word of a few copies weighs less
+        weight = min(float(r.odds), 8.0) * min(1.0, r.n / (4.0 * least))  # a word of a few copies weighs less
         if r.kind == 0:
             w = bytes(r.word).decode("utf-8", "replace")
             words[w] = (INSULT, max(weight, words.get(w, ("", 0.0))[1]) if words.get(w, (INSULT,))[0] == INSULT else weight)
@@ -232,12 +250,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
         for batch in batches(it):
             for i, j, raw, offs in K.pieces(batch.column(1)):
                 x = sent.value.matches(raw, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, pa.float64()) for c in zip(*x))], ["label", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, pa.float64()) for c in zip(*x))], ["label", "a", "b", "c", "n"])
 
-    got = rows.where(half == 1).select("label", "text").mapInArrow(run, "label int, a double, b double, c double").collect()  # at most ``most`` rows
+    got = rows.where(half == 1).select("label", "text").mapInArrow(run, "label int, a double, b double, c double, n double").collect()  # at most ``most`` rows
     got = sorted(tuple(r) for r in got)
     if len({r[0] for r in got}) < 2:
-        return Model(lexicon, np.array([-3.0, 2.0, 0.0, 0.0]))
+        return Model(lexicon, np.array([-3.0, 2.0, 0.0, 0.0, 0.0, 0.0]))
     return Model(lexicon, _logistic(_inputs([r[1:] for r in got]), np.array([r[0] for r in got], dtype=np.float64)))
 
 
@@ -262,4 +280,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(crc_mod("doc_id", 5) != 0).withColumnRenamed("toxic", "label")
     out = score(spark, docs, train(spark, docs, labels), ("doc_id",))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
