@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from llm import oracles
 from llm.ann import op4_multi_index
 from llm.bpe import op6_bpe
 from llm.decontaminate import op8_decontaminate
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op7_warc": oracles.WARC,
+    "op8_decontaminate": oracles.DECONTAMINATE,
+}

@@ -12,8 +12,11 @@ row per capture.
 
 Null payloads are empty payloads. Of pages with equal payloads of at least
 ``least`` bytes the one with the largest id is the response, the others revisit
-it. Page ids are taken to be distinct; the same page given twice is two captures
-with the same identifiers, of which one is kept. A null page id is left out.
+it; of several rows with that id, one. Every row is a capture of its own, whatever
+rows repeat its id; a null id is the smallest, and its capture names no page.
+
+Pages are written by classes of size, the larger ones fewer to a file, so that a file
+that a task reads whole holds about 32 MB, or one page.
 """
 
 from __future__ import annotations
@@ -36,21 +39,22 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pages with their payload digest and, for revisits, the response's page id.
+    """Pages with a row number, their payload digest and, for revisits, the response's page id and row number.
 
     The largest id of a digest is a partial aggregate, so a payload shared by
     very many pages costs one row per task.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
-    pages = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    slim = pages.select("page_id", "payload_bytes", "payload_digest")
-    groups = slim.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pages = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    last = F.max(F.struct("page_id", "row"))  # nulls come first
+    groups = pages.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(last.alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("refers_row"))
     joined = pages.join(groups, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= least) & (F.col("refers_to") != F.col("page_id")), F.col("refers_to")))
+    revisits = (F.col("payload_bytes") >= least) & (F.col("refers_row") != F.col("row"))
+    return joined.withColumns({c: F.when(revisits, F.col(c)) for c in ("refers_to", "refers_row")})
 
 
-def _urn(kind: str, page: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}/{page}')}"
+def _urn(kind: str, page, row: int) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}/{page}/{row}')}"
 
 
 def _record(kind: str, record: str, uri: str, body: bytes, content: str, more: list[tuple[str, str]]) -> bytes:
@@ -67,27 +71,35 @@ def _make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 200):
             out = []
             for r in batch.slice(k, 200).to_pylist():
-                page, uri, body = str(r["page_id"]), _one_line(r["url"]), (r["html"] or "").encode()
+                page, row, uri, body = r["page_id"], r["row"], _one_line(r["url"]), (r["html"] or "").encode()
                 digest = "sha1:" + base64.b32encode(bytes.fromhex(r["payload_digest"])).decode()
-                main = _urn("capture", page)
+                main = _urn("capture", page, row)
                 path = uri.split("://", 1)[-1].partition("/")
                 request = f"GET /{path[2]} HTTP/1.1\r\nHost: {path[0]}\r\n\r\n".encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                if r["refers_to"] is None:
+                if r["refers_row"] is None:
                     out.append(_record("response", main, uri, http + body, "application/http;msgtype=response", [("WARC-Payload-Digest", digest)]))
                 else:
-                    first = _urn("capture", str(r["refers_to"]))
+                    first = _urn("capture", r["refers_to"], r["refers_row"])
                     out.append(_record("revisit", main, uri, http, "application/http;msgtype=response", [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", f"<{first}>")]))
-                out.append(_record("request", _urn("request", page), uri, request, "application/http;msgtype=request", [("WARC-Concurrent-To", f"<{main}>")]))
-                out.append(_record("metadata", _urn("metadata", page), uri, f"page-id: {page}\r\npayload-length: {len(body)}\r\n".encode(), "application/warc-fields", [("WARC-Concurrent-To", f"<{main}>")]))
+                out.append(_record("request", _urn("request", page, row), uri, request, "application/http;msgtype=request", [("WARC-Concurrent-To", f"<{main}>")]))
+                out.append(_record("metadata", _urn("metadata", page, row), uri, f"{'' if page is None else f'page-id: {page}\r\n'}payload-length: {len(body)}\r\n".encode(), "application/warc-fields", [("WARC-Concurrent-To", f"<{main}>")]))
             yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST, records_per_file: int = 6000) -> None:
-    """Write each page as a capture of three records."""
+#: Payloads of at most so many bytes, and records of them in a file.
+CLASSES = ((1 << 14, 6000), (1 << 20, 96), (1 << 62, 3))
+
+
+def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST, classes: tuple = CLASSES) -> None:
+    """Write each page as a capture of three records, in a folder for each class of size (equal payloads are in one)."""
     ship(spark)
-    planned = plan_records(pages, least).select("page_id", "url", "html", "payload_digest", "refers_to")
-    planned.mapInArrow(_make, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    begin = -1
+    for k, (most, records) in enumerate(classes):
+        size = F.coalesce(F.octet_length("html"), F.lit(0))
+        planned = plan_records(pages.where((size > begin) & (size <= most)), least).select("page_id", "row", "url", "html", "payload_digest", "refers_to", "refers_row")
+        planned.mapInArrow(_make, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", records).option("compression", "gzip").text(f"{path}/size{k}")
+        begin = most
 
 
 def unzipped(content: bytes) -> bytes:
@@ -152,7 +164,7 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record."""
     ship(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(_read, RECORD)
 
 
 def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:

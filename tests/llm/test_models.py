@@ -77,15 +77,15 @@ def test_archives(spark, tmp_path):
     same, other = "<p>é</p>" * 300, "\r\n\r\nWARC/1.1\r\n" * 200
     pages = [(1, "http://a/x", same), (2, None, same), (3, "u v", "short"), (4, "u", "short"), (5, "u", None), (6, "", other), (7, "u", same), (None, "u", "x")]
     path = str(tmp_path / "archives")
-    warc.write_archives(spark, rows(spark, pages, PAGES), path, records_per_file=4)
+    warc.write_archives(spark, rows(spark, pages, PAGES), path, classes=((1000, 4), (1 << 62, 3)))
     got = {}
     for x in warc.assemble(warc.read_archives(spark, path)).collect():
-        page = int(x.metadata.fields["page-id"])
+        page = int(x.metadata.fields.get("page-id", 8))
         got[page] = x
         assert x.request.http_head.startswith("GET /") and int(x.metadata.fields["payload-length"]) == len((pages[page - 1][2] or "").encode())
         assert x.main.payload_digest == hashlib.sha1((pages[page - 1][2] or "").encode()).hexdigest()
-    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
-    assert {p: x.main.record_type for p, x in got.items()} == {1: "revisit", 2: "revisit", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response"}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert {p: x.main.record_type for p, x in got.items()} == {1: "revisit", 2: "revisit", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response", 8: "response"}
     assert got[6].main.payload == other and got[1].main.refers_to == got[7].main.record_id and got[1].main.payload is None
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
