@@ -6,8 +6,8 @@ of its parent:
 
     preceding word -> its class (kind and hashed ending, 80) -> its kind (5) -> all words -> uniform
 
-Each preceding word has its own restaurant, named by 15 bits of its hash within its
-class (2.6 million names, so that what restaurants hold in total can be sent to all
+Each preceding word has its own restaurant, named by 14 bits of its hash within its
+class (1.3 million names, so that what restaurants hold in total can be sent to all
 tasks); words of one name share it. Dishes are all words in all contexts, however often.
 
 Seating follows the Chinese-restaurant process: at first a dish has one table in each
@@ -44,14 +44,14 @@ from pyspark.sql import functions as F
 from llm import kernels as K
 from llm.common import batches, crc_mod, drop, partitions, ship, table, written
 
-KINDS, ENDINGS, SUB, BITS = 5, 16, 15, 22
+KINDS, ENDINGS, SUB, BITS = 5, 16, 14, 22
 LEAVES = KINDS * ENDINGS
 CONTEXTS, RANGES = LEAVES << SUB, 16
 BURN_IN, SAMPLES = 1, 2
 ROUNDS_MOST, SETTLED = 8, 0.1
 SINGLE = 64
 STRENGTH = 0.5
-HOT, HOT_PAIRS = 1 << 14, 1 << 17
+HOT, HOT_PAIRS = 1 << 13, 1 << 17
 FLUSH = 2 << 20
 END = K.U64(0xE4D0F7E47E57AB1E)
 ROWS = "part int, kind int, data binary"
@@ -351,23 +351,43 @@ def sums_of(levels: list[Level]) -> np.ndarray:
     return np.concatenate([*(np.bincount(x.rest, weights=x.c, minlength=m) for x, m in zip(levels, SIZES)), *(np.bincount(x.rest, weights=x.t, minlength=m) for x, m in zip(levels, SIZES))])
 
 
+class Numbers:
+    """Whole numbers, most of them small, in two bytes each."""
+
+    def __init__(self, x: np.ndarray):
+        self.at = np.flatnonzero(x >= 65535)
+        self.big, self.small = x[self.at].astype(np.float64), np.minimum(x, 65535).astype(np.uint16)
+
+    def __getitem__(self, i) -> np.ndarray:
+        out = self.small[i].astype(np.float64)
+        if len(self.at) and not isinstance(i, slice):
+            large = np.flatnonzero(out == 65535)
+            out[large] = self.big[np.searchsorted(self.at, np.asarray(i)[large])]
+        elif len(self.at):
+            out[self.at] = self.big
+        return out
+
+    def sum(self) -> float:
+        return float(self.small.sum(dtype=np.int64)) + float((self.big - 65535).sum())
+
+
 class Totals:
     """Customers and tables of each restaurant, of all parts; discounts by level, the root's first."""
 
     def __init__(self, head: np.ndarray, c: np.ndarray, t: np.ndarray, d: list[float], vocabulary: int):
         cut = np.cumsum(SIZES)[:-1]
-        self.c, self.t = [*np.split(head[:HEAD], cut), c], [*np.split(head[HEAD:], cut), t]
+        self.c, self.t = [*np.split(head[:HEAD], cut), Numbers(c)], [*np.split(head[HEAD:], cut), Numbers(t)]
         self.d, self.base = d, 1.0 / (vocabulary + 1)
 
     def back(self, level: int, rest=slice(None)) -> np.ndarray:
         """What restaurants leave to their parent."""
-        return (STRENGTH + self.d[level] * self.t[level][rest].astype(np.float64)) / (STRENGTH + self.c[level][rest])
+        return (STRENGTH + self.d[level] * self.t[level][rest]) / (STRENGTH + self.c[level][rest])
 
     def own(self, level: int, rest, c, t):
-        return np.maximum(c - self.d[level] * t, 0) / (STRENGTH + self.c[level][rest].astype(np.float64))
+        return np.maximum(c - self.d[level] * t, 0) / (STRENGTH + self.c[level][rest])
 
     def fresh(self, level: int, rest) -> np.ndarray:
-        return STRENGTH + self.d[level] * self.t[level][rest].astype(np.float64)
+        return STRENGTH + self.d[level] * self.t[level][rest]
 
 
 def chain(levels: list[Level], totals: Totals) -> list[np.ndarray]:
@@ -564,11 +584,13 @@ def _matrix(hot: Hot, levels: list[Level], totals: Totals) -> np.ndarray:
     out = np.where(by_kind[:, leaf >> 4] >= 0, by_kind[:, leaf >> 4], totals.back(1)[leaf >> 4] * out)
     out = totals.back(2)[leaf] * out
     out[of(2), levels[2].rest] = above[2]
-    return out
+    return out.astype("<f4")
 
 
 class Model:
-    def __init__(self, seats: DataFrame, totals: list[Totals], parts: int, tokens: int, vocabulary: int, hot: Hot, pairs: tuple):
+    """The seats of all parts, and (as broadcast) a Totals for each sample, the frequent words, and frequent pairs with their scores."""
+
+    def __init__(self, seats: DataFrame, totals, parts: int, tokens: int, vocabulary: int, hot, pairs):
         self.seats, self.totals, self.parts, self.tokens, self.vocabulary, self.hot, self.pairs = seats, totals, parts, tokens, vocabulary, hot, pairs
 
 
@@ -635,14 +657,20 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
     rows = pairs.where("kind = 0")
     for _ in range(ROUNDS_MOST):
         before, common.p = sum(float(x.sum()) for x in now.t), [matrix]
-        got = _gathered(rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, 1, False), ROWS))
+        sent = [send(now), send(common)]
+        got = _gathered(rows.mapInArrow(_gibbs(parts, *sent, burn_in, 1, False), ROWS))
+        for x in sent:
+            x.destroy()
         if not got[1]:
             break
         now, matrix = _settled(common, got, 0, c, types + dense(0), np.frombuffer(got[1][0], "<f8"), d, int(v), 20)
         if abs(sum(float(x.sum()) for x in now.t) - before) <= SETTLED * before:
             break
     common.p = [matrix]
-    seats = written(spark, rows.mapInArrow(_gibbs(parts, send(now), send(common), burn_in, samples, True), ROWS), "language-seats")
+    sent = [send(now), send(common)]
+    seats = written(spark, rows.mapInArrow(_gibbs(parts, *sent, burn_in, samples, True), ROWS), "language-seats")
+    for x in sent:
+        x.destroy()
     got = _gathered(seats)
     totals, matrices = [now] * samples, [matrix] * samples
     if got[1]:
@@ -663,7 +691,7 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
 
     found = K.gather([r.data for r in seats.select("data").mapInArrow(often, "data binary").collect()], ("<u8", "<u8", "<f8"))  # ``hot_pairs`` at most
     order = np.lexsort((found[0], found[1]))
-    return Model(seats, totals, parts, int(n), int(v), common, (found[0][order], found[2][order]))
+    return Model(seats, all_totals, parts, int(n), int(v), sent, send((found[0][order], found[2][order])))
 
 
 def _add_numbers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -805,8 +833,7 @@ def _add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(spark: SparkSession, model: Model, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship(spark)
-    send = spark.sparkContext.broadcast
-    hot, totals, pairs = send(model.hot), send(model.totals), send(model.pairs)
+    hot, totals, pairs = model.hot, model.totals, model.pairs
     dealt = docs.select("doc_id", "text", "held_out").mapInArrow(_deal_tokens(model.parts, hot, pairs, model.tokens, model.vocabulary), ROWS)
     met = model.seats.unionByName(dealt).repartition("part").sortWithinPartitions("part", "kind")
     sums = met.mapInArrow(_score_tokens(model.parts, totals, hot, model.tokens, model.vocabulary), ROWS)

@@ -172,8 +172,8 @@ def test_language_model(spark, docs):
         assert got[i].base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tokens))
         assert got[i].score < 0
     # probabilities of all words and of the unknown one add up to 1 in every context
-    parts = [pitman_yor.Part(r.data, model.totals, model.hot) for r in model.seats.select("data").collect()]
-    assert len(model.hot.words) and len(model.pairs[0])
+    parts = [pitman_yor.Part(r.data, model.totals.value, model.hot.value) for r in model.seats.select("data").collect()]
+    assert len(model.hot.value.words) and len(model.pairs.value[0])
 
     def probability(word, context):
         return np.max([p.probability(word, context) for p in parts], axis=0)  # other parts know less of a word
