@@ -8,6 +8,7 @@ to differ in their hash.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -206,6 +207,15 @@ def gather(values, dtypes: tuple) -> list[np.ndarray]:
     return [np.concatenate(x) if parts else np.zeros(0, d) for d, x in zip(dtypes, zip(*parts) if parts else [()] * len(dtypes))]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def _murmur(x: np.ndarray, seed: int = 42) -> np.ndarray:
     """Spark's hash of an integer column, as public in Murmur3 (32 bits)."""
     u = np.uint32

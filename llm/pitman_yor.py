@@ -52,7 +52,7 @@ ROUNDS_MOST, SETTLED = 8, 0.1
 SINGLE = 64
 STRENGTH = 0.5
 HOT, HOT_PAIRS = 1 << 13, 1 << 17
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 END = K.U64(0xE4D0F7E47E57AB1E)
 ROWS = "part int, kind int, data binary"
 _HIGH = K.U64((1 << 64) - (1 << BITS))
@@ -158,7 +158,7 @@ def _count_words(parts: int):
             for _, _, raw, offs in K.pieces(batch.column(0)):
                 held.append(tokens(raw, offs)[1])
                 size += len(held[-1])
-                if size > 2 * FLUSH:
+                if size > 4 * FLUSH:
                     yield from send()
                     held, size = [], 0
         if size:
@@ -230,6 +230,7 @@ def _count_pairs(parts: int, hot_):
                     words.clear()
                     contexts.clear()
                     size = 0
+                    K.trim()
         if size:
             yield from send()
 
@@ -279,7 +280,7 @@ class Level:
     """Dishes of the restaurants of one level: customers and tables of each."""
 
     def __init__(self, key: np.ndarray, rest: np.ndarray, up: np.ndarray | None, customers: np.ndarray):
-        self.key, self.rest, self.up = key, rest, up
+        self.key, self.rest, self.up = key, rest.astype(np.int32), up  # a key's upper bits are a word's, the rest a restaurant's
         self.c = customers.astype(np.int64)
         self.t = np.minimum(self.c, 1)
 
@@ -329,16 +330,14 @@ def ladder(key: np.ndarray, n: np.ndarray) -> list[Level]:
     for a, b in zip(shifts, shifts[1:]):
         k = keys[-1] >> K.U64(b - a)
         first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-        ups.append(np.cumsum(first) - 1)
+        ups.append(np.cumsum(first, dtype=np.int32) - np.int32(1))
         keys.append(k[first])
     rests = [(key & ~_HIGH).astype(np.int64), (keys[1] & K.U64(127)).astype(np.int64), (keys[2] & K.U64(7)).astype(np.int64), np.zeros(len(keys[3]), np.int64)]
     customers = n
     for i in range(4):
-        level = Level(K.mix(keys[i] + K.U64(i)), rests[i], ups[i] if i < 3 else None, customers)
-        level.raw = keys[i] << K.U64(shifts[i])
-        out.append(level)
+        out.append(Level(keys[i], rests[i], ups[i] if i < 3 else None, customers))
         if i < 3:
-            customers = np.bincount(ups[i], weights=level.t, minlength=len(keys[i + 1]))
+            customers = np.bincount(ups[i], weights=out[-1].t, minlength=len(keys[i + 1]))
     return out[::-1]
 
 
@@ -406,7 +405,7 @@ def sweep(levels: list[Level], totals: Totals, step: int) -> None:
     for i in range(len(levels) - 1, -1, -1):
         x = levels[i]
         parent = above[i - 1][x.up] if i else totals.base
-        x.seat(totals.fresh(i, x.rest) * parent, totals.d[i], step)
+        x.seat(totals.fresh(i, x.rest) * parent, totals.d[i], 4 * step + i)
         if i:
             levels[i - 1].c = np.bincount(x.up, weights=x.t, minlength=len(levels[i - 1].rest)).astype(np.int64)
 
@@ -452,6 +451,8 @@ def _sum_pairs(parts: int, hot_):
             deal = K.Dealer(parts)
             for q, v in [*_cells(deal, parts, 0, w[hot], c[hot], np.ones(int(hot.sum()))), *deal.flush()]:
                 yield _row(q, 3, v)
+            del w, c, n, order, first, hot, levels
+            K.trim()
 
     return run
 
@@ -472,7 +473,7 @@ def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
                 seats, deal, t, more = [], K.Dealer(parts), np.empty(len(w), np.int64), np.flatnonzero(n > 1)
                 for s in range(burn_in + samples):
                     sweep(levels, totals, s)
-                    top.seat(fresh, totals.d[3], s)
+                    top.seat(fresh, totals.d[3], 4 * s + 3)
                     if s < burn_in:
                         continue
                     k = s - burn_in
@@ -486,6 +487,8 @@ def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
                     yield _row(q, 3, v)
                 if keep:
                     yield _row(p, 0, _csr(c, w, n, *seats))
+                del levels, top, fresh, seats, t, w, c, n, place, cold, warm, more
+                K.trim()
 
     return run
 
@@ -577,7 +580,7 @@ def _matrix(hot: Hot, levels: list[Level], totals: Totals) -> np.ndarray:
     out = np.full((len(word), LEAVES), totals.back(0)[0] * totals.base)
     leaf = np.arange(LEAVES)
     by_word, by_kind = np.full(len(word), -1.0), np.full((len(word), KINDS), -1.0)
-    of = lambda i: (levels[i].raw >> K.U64(BITS)).astype(np.int64)
+    of = lambda i: (levels[i].key >> K.U64((0, BITS - SUB - 4, BITS - SUB)[i])).astype(np.int64)
     by_word[of(0)] = above[0]
     by_kind[of(1), levels[1].rest] = above[1]
     out = np.where(by_word[:, None] >= 0, by_word[:, None], out)
@@ -752,6 +755,7 @@ def _deal_tokens(parts: int, hot_, pairs_, tokens_: int, vocabulary: int):
                     yield from send()
                     held.clear()
                     size = 0
+                    K.trim()
         if size:
             yield from send()
         for p, v in docs.flush():
@@ -764,7 +768,7 @@ def _score_tokens(parts: int, totals, hot, tokens_: int, vocabulary: int):
     """Seats and tokens, part by part -> sums of each row and part (kind 3), dealt by row; kind 2 passes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, sums = None, None, K.Dealer(parts, 12 << 20)
+        now, part, sums = None, None, K.Dealer(parts, 4 << 20)
         held, size = [], 0
 
         def score():
@@ -795,6 +799,7 @@ def _score_tokens(parts: int, totals, hot, tokens_: int, vocabulary: int):
                         yield from (_row(q, 3, v) for q, v in score())
                         held, size = [], 0
                     now, part = p, None
+                    K.trim()
                 if kind == 0:
                     part = Part(x.as_buffer(), totals.value, hot.value)
                     continue
@@ -802,7 +807,7 @@ def _score_tokens(parts: int, totals, hot, tokens_: int, vocabulary: int):
                     part = Part(None, totals.value, hot.value)
                 held.append(x.as_py())
                 size += len(held[-1])
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield from (_row(q, 3, v) for q, v in score())
                     held, size = [], 0
         if held:
