@@ -22,6 +22,7 @@ from gridscope.functions import text as T
 from gridscope.functions.regions import dictionary
 from gridscope.model import RULE, VIOLATION
 from gridscope.operators.bands import islands
+from gridscope.operators.lineage import cut
 
 KEY = ["file_id", "sheet_ix"]
 REGION_KEY = [*KEY, "region_ix"]
@@ -37,22 +38,23 @@ class Context:
     regions: DataFrame
     others: DataFrame
     regions_dictionary: DataFrame | None = None
+    cut: bool = False  # whether what most rules read is written once
 
     @cached_property
     def inside(self) -> DataFrame:
         """Cells of regions, with what the region knows about their column."""
         r = self.regions.select(*REGION_KEY, "start_row", "end_row", "start_col", "end_col", "header_rows", "body_start", "body_end", "headers", "types", "stub_cols", "abstain")
         c = self.cells.join(r, KEY).where(F.col("row").between(F.col("start_row"), F.col("end_row")) & F.col("col").between(F.col("start_col"), F.col("end_col")))
-        return (
+        c = (
             c.withColumn("s", F.coalesce(T.strip(F.col("vtext")), F.lit("")))
             .withColumn("has_value", F.col("vtype").isNotNull())
             .withColumn("label", F.try_element_at("headers", F.col("col")))
             .withColumn("ctype", F.try_element_at("types", F.col("col")))
             .withColumn("body", F.col("row").between(F.col("body_start"), F.col("body_end")))
-            .withColumn("last_header", F.when(F.size("header_rows") > 0, F.element_at("header_rows", -1)))
+            .withColumn("last_header", F.when(F.size("header_rows") > 0, F.try_element_at("header_rows", F.lit(-1))))
             .drop("headers", "types")
-            .persist()  # read by most rules
         )
+        return cut(c) if self.cut else c
 
     @cached_property
     def body(self) -> DataFrame:
@@ -134,7 +136,7 @@ def strays(x: Context) -> Result:
 
 @rule("L1-05")
 def names(x: Context) -> Result:
-    first = F.when(F.size("header_rows") > 0, F.element_at("header_rows", 1)).otherwise(F.col("start_row"))
+    first = F.when(F.size("header_rows") > 0, F.try_element_at("header_rows", F.lit(1))).otherwise(F.col("start_row"))
     cols = x.regions.select(*REGION_KEY, first.alias("row"), "headers", "header_rows", F.explode(F.sequence("start_col", "end_col")).alias("col"))
     top = x.inside.where((F.size("header_rows") == 0) & (F.col("row") == F.col("start_row"))).select(*REGION_KEY, "col", F.col("s").alias("said"))
     full = x.body.select(*REGION_KEY, "col").distinct().withColumn("full", F.lit(True))
@@ -341,7 +343,7 @@ def unique_names(x: Context) -> Result:
     cells = x.inside.where(F.array_contains("header_rows", F.col("row")) & F.col("m_row").isNotNull() & ((F.col("m_row") != F.col("row")) | (F.col("m_col") != F.col("col"))))
     slaves = cells.select(*REGION_KEY, "col", F.col("m_row").alias("a"), F.col("m_col").alias("b")).distinct()
     ranges = slaves.join(x.merges.select(*KEY, F.col("start_row").alias("a"), F.col("start_col").alias("b"), "end_row", "end_col"), [*KEY, "a", "b"]).select(*REGION_KEY, "a", "b", "end_row", "end_col").distinct()
-    cols = x.regions.where("size(header_rows) > 0").select(*REGION_KEY, F.element_at("header_rows", 1).alias("row"), F.explode("headers").alias("col", "name"))
+    cols = x.regions.where("size(header_rows) > 0").select(*REGION_KEY, F.try_element_at("header_rows", F.lit(1)).alias("row"), F.explode("headers").alias("col", "name"))
     cols = cols.join(slaves.select(*REGION_KEY, "col").distinct(), [*REGION_KEY, "col"], "left_anti")
     full = x.body.select(*REGION_KEY, "col").distinct()
     twice = cols.where("name <> ''").withColumn("n", F.count("*").over(Window.partitionBy(*REGION_KEY, "name"))).where("n > 1")
@@ -419,13 +421,13 @@ def formulas(x: Context) -> Result:
 
 @rule("L3-01")
 def header_first(x: Context) -> Result:
-    last = F.element_at("header_rows", -1)
+    last = F.try_element_at("header_rows", F.lit(-1))
     r = x.regions
     low, gap, deep = r.where("start_row > 1"), r.where((F.size("header_rows") > 0) & (F.col("body_start") > last + 1)), r.where("size(header_rows) >= 3")
     found = _union(
         violations(low, "L3-01", "error", F.lit("does not start in the first row"), "start_row", "start_col", "start_row", "end_col"),
         violations(gap, "L3-01", "error", F.lit("rows between header and body"), last + 1, "start_col", F.col("body_start") - 1, "end_col"),
-        violations(deep, "L3-01", "info", F.lit("three header rows or more"), F.element_at("header_rows", 1), "start_col", last, "end_col"),
+        violations(deep, "L3-01", "info", F.lit("three header rows or more"), F.try_element_at("header_rows", F.lit(1)), "start_col", last, "end_col"),
     )
     fatal = (F.col("start_row") > 1) | F.coalesce((F.size("header_rows") > 0) & (F.col("body_start") > last + 1), F.lit(False))
     return found, status(r, "L3-01", severity=F.when(fatal, "fatal").otherwise("major"))
@@ -547,7 +549,7 @@ def numbered_headers(heads: DataFrame, by: list[str]) -> DataFrame:
 @rule("L3-09")
 def long_form(x: Context) -> Result:
     width = F.col("end_col") - F.col("start_col") + 1
-    r = x.regions.where("size(header_rows) > 0").select(*REGION_KEY, "start_row", "end_row", "start_col", "end_col", F.element_at("header_rows", -1).alias("head"), width.alias("width"))
+    r = x.regions.where("size(header_rows) > 0").select(*REGION_KEY, "start_row", "end_row", "start_col", "end_col", F.try_element_at("header_rows", F.lit(-1)).alias("head"), width.alias("width"))
     broad = r.where("width >= 4")
     heads = x.heads.join(broad.select(*REGION_KEY, "head"), REGION_KEY)
     wide = wide_headers(heads, [*REGION_KEY, "head"])
@@ -563,6 +565,10 @@ def long_form(x: Context) -> Result:
 def evaluate(x: Context, rule_ids: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Violations, and a check per region and applicable rule.
 
+    Where the context is cut, each rule's plan is run on its own and its result written,
+    so that all rules together do not make one plan, and the checks do not find the
+    violations again.
+
     A rule whose plan cannot be built counts as skipped; ``strict`` raises instead.
     """
     spark = x.regions.sparkSession
@@ -574,9 +580,9 @@ def evaluate(x: Context, rule_ids: list[str], strict: bool = False) -> tuple[Dat
             if strict:
                 raise
             v, s = None, status(x.regions, i, passed=F.lit(True), confidence=0.0)
-        found += [v] if v is not None else []
-        states += [s] if s is not None else []
-    found, states = _union(*found).persist(), _union(*states)  # counted for the checks, and returned
+        found += [cut(v) if x.cut else v] if v is not None else []
+        states += [cut(s) if x.cut else s] if s is not None else []
+    found, states = _union(*found), _union(*states)
     rules = spark.createDataFrame([(r.rule_id, r.level, r.target, r.severity, r.confidence, r.confidence_fail if r.confidence_fail is not None else r.confidence) for i in rule_ids if (r := RULE[i])] or [], "rule_id string, level int, target string, severity_of_rule string, sure_pass double, sure_fail double")
     kind = F.when(F.col("format") == "xlsx", "excel").otherwise("csv")
     grid = x.regions.select(*REGION_KEY).join(x.sheets.select(*KEY, "format"), KEY).join(F.broadcast(rules)).where((F.col("target") == "common") | (F.col("target") == kind)) if rule_ids else x.regions.select(*REGION_KEY).limit(0)
