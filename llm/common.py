@@ -79,6 +79,13 @@ def only(spark: SparkSession, df: DataFrame, keys: DataFrame, column: str) -> Da
     return df.join(F.broadcast(keys), column, "left_semi") if keys.count() <= KEYS_MOST else df
 
 
+def small(spark: SparkSession, df: DataFrame, entries) -> DataFrame:
+    """df as a written table, for a broadcast join where it holds no more than ``KEYS_MOST`` entries in all."""
+    df = written(spark, df, "small")
+    n = df.agg(F.sum(entries)).first()[0] or 0
+    return F.broadcast(df) if n <= KEYS_MOST else df
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the column as text, modulo m."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % m

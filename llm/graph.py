@@ -18,6 +18,8 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 50) -> DataF
     """
     now = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     nodes = now
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = total(now)
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,12 +28,11 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 50) -> DataF
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = written(spark, small, "edges")
-        total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same = total(after) == total(now)
+        last, before = before, total(after)
         if now is not nodes:
             drop(spark, now)
         now = after
-        if same:
+        if before == last:
             break
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     ids = nodes.select(F.col("u").alias("id")).unionByName(nodes.select(F.col("v").alias("id"))).distinct()
