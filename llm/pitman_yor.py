@@ -51,7 +51,7 @@ BURN_IN, SAMPLES = 1, 2
 ROUNDS_MOST, SETTLED = 8, 0.1
 SINGLE = 64
 STRENGTH = 0.5
-HOT, HOT_PAIRS = 1 << 13, 1 << 17
+HOT, HOT_PAIRS = 1 << 13, 1 << 18
 FLUSH = 1 << 20
 END = K.U64(0xE4D0F7E47E57AB1E)
 ROWS = "part int, kind int, data binary"
@@ -88,6 +88,8 @@ def _row(part: int, kind: int, data: bytes) -> pa.RecordBatch:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths in one value; of 32-bit numbers first all low bytes, then the next, so that small ones compress."""
+    arrays = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).T.ravel() if a.dtype == np.uint32 else a for a in arrays]
     return np.array([len(arrays), *(len(a) for a in arrays)], "<u8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
@@ -95,6 +97,10 @@ def _unblob(data, dtypes: tuple) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<u8", 1)[0])
     out, at = [], 8 * (n + 1)
     for size, d in zip(np.frombuffer(data, "<u8", n, 8).tolist(), dtypes):
+        if d == "<u4":
+            out.append(np.ascontiguousarray(np.frombuffer(data, "u1", size, at).reshape(4, -1).T).view("<u4").ravel())
+            at += size
+            continue
         out.append(np.frombuffer(data, d, size, at))
         at += size * np.dtype(d).itemsize
     return out
@@ -416,18 +422,18 @@ def _expand(found: list, dtypes: tuple = ("<u8", "<u4", "<u4", "<u4")) -> list[n
     return [np.concatenate([np.repeat(x[0], x[1]) for x in pieces]), *(np.concatenate(x) for x in list(zip(*pieces))[2:])]
 
 
-def _cells(deal: K.Dealer, parts: int, sample: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
-    """Sums by word and class, dealt by word."""
+def _cells(deal: K.Dealer, sample: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+    """Sums by word and class, dealt by word over a few parts."""
     leaf = (context >> SUB).astype(np.int64)
     first = _starts(word)
     at = np.repeat(np.arange(len(first)), _lengths(first, len(word))) * LEAVES + leaf
     total = np.bincount(at, weights=n, minlength=len(first) * LEAVES) if len(at) else np.zeros(0)
     some = np.flatnonzero(total)
     w = word[first][some // LEAVES]
-    return list(deal.add((w % K.U64(parts)).astype(np.int64), np.full(len(w), sample, "u1"), w, (some % LEAVES).astype("u1"), total[some].astype("<u8")))
+    return list(deal.add((w % K.U64(RANGES)).astype(np.int64), np.full(len(w), sample, "u1"), w, (some % LEAVES).astype("u1"), total[some].astype("<u8")))
 
 
-def _sum_pairs(parts: int, hot_):
+def _sum_pairs(hot_):
     """A part's distinct pairs (kind 0), and what they add to totals (kinds 1 to 3)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,8 +454,8 @@ def _sum_pairs(parts: int, hot_):
             yield _row(0, 1, np.concatenate([sums_of(levels), ones, np.bincount(_ranks(n), minlength=512)]).astype("<f8").tobytes())
             yield from _dense(2, 0, np.bincount(c, weights=n, minlength=CONTEXTS))
             yield from _dense(2, 1, np.bincount(c, minlength=CONTEXTS))
-            deal = K.Dealer(parts)
-            for q, v in [*_cells(deal, parts, 0, w[hot], c[hot], np.ones(int(hot.sum()))), *deal.flush()]:
+            deal = K.Dealer(RANGES)
+            for q, v in [*_cells(deal, 0, w[hot], c[hot], np.ones(int(hot.sum()))), *deal.flush()]:
                 yield _row(q, 3, v)
             del w, c, n, order, first, hot, levels
             K.trim()
@@ -457,7 +463,7 @@ def _sum_pairs(parts: int, hot_):
     return run
 
 
-def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
+def _gibbs(totals_, hot_, burn_in: int, samples: int, keep: bool):
     """Sampled seating of each part: its tables (kind 0, of pairs that occur twice or more), and what they add to totals (kinds 1 to 3)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,7 +476,7 @@ def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
                 levels = ladder((w & _HIGH)[cold] | c[cold], n[cold])
                 top = Level(pair_keys(w[warm], c[warm]), c[warm], None, n[warm])
                 fresh = totals.fresh(3, c[warm]) * hot.p[0][place[warm], c[warm] >> SUB]
-                seats, deal, t, more = [], K.Dealer(parts), np.empty(len(w), np.int64), np.flatnonzero(n > 1)
+                seats, deal, t, more = [], K.Dealer(RANGES), np.empty(len(w), np.int64), np.flatnonzero(n > 1)
                 for s in range(burn_in + samples):
                     sweep(levels, totals, s)
                     top.seat(fresh, totals.d[3], 4 * s + 3)
@@ -481,7 +487,7 @@ def _gibbs(parts: int, totals_, hot_, burn_in: int, samples: int, keep: bool):
                     seats += [t[more].astype("<u4"), *(x.t[x.c > 1].astype("<u4") for x in levels[2::-1])]
                     yield _row(k, 1, sums_of(levels).astype("<f8").tobytes())
                     yield from _dense(2, k, np.bincount(c[more], weights=t[more] - 1, minlength=CONTEXTS))
-                    for q, v in _cells(deal, parts, k, w[warm], c[warm], t[warm]):
+                    for q, v in _cells(deal, k, w[warm], c[warm], t[warm]):
                         yield _row(q, 3, v)
                 for q, v in deal.flush():
                     yield _row(q, 3, v)
@@ -640,7 +646,7 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
     common = Hot(*K.gather([r.data for r in found], ("<u8", "<i8")))
     drop(spark, words)
     sent = send(common)
-    pairs = texts.mapInArrow(_count_pairs(parts, sent), ROWS).repartition("part").mapInArrow(_sum_pairs(parts, sent), ROWS)
+    pairs = texts.mapInArrow(_count_pairs(parts, sent), ROWS).repartition("part").mapInArrow(_sum_pairs(sent), ROWS)
     pairs = written(spark, pairs, "language-pairs")
     got = _gathered(pairs)
     numbers = np.frombuffer(got[1][0], "<f8") if got[1] else np.zeros(2 * HEAD + 8 + 512)
@@ -661,7 +667,7 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
     for _ in range(ROUNDS_MOST):
         before, common.p = sum(float(x.sum()) for x in now.t), [matrix]
         sent = [send(now), send(common)]
-        got = _gathered(rows.mapInArrow(_gibbs(parts, *sent, burn_in, 1, False), ROWS))
+        got = _gathered(rows.mapInArrow(_gibbs(*sent, burn_in, 1, False), ROWS))
         for x in sent:
             x.destroy()
         if not got[1]:
@@ -671,7 +677,7 @@ def train(spark: SparkSession, texts: DataFrame, hot: int = HOT, hot_pairs: int
             break
     common.p = [matrix]
     sent = [send(now), send(common)]
-    seats = written(spark, rows.mapInArrow(_gibbs(parts, *sent, burn_in, samples, True), ROWS), "language-seats")
+    seats = written(spark, rows.mapInArrow(_gibbs(*sent, burn_in, samples, True), ROWS), "language-seats")
     for x in sent:
         x.destroy()
     got = _gathered(seats)
@@ -717,7 +723,7 @@ def _deal_tokens(parts: int, hot_, pairs_, tokens_: int, vocabulary: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, (keys, logs) = hot_.value, pairs_.value
-        often = Table(keys, 20)
+        often = Table(keys, 21)
         base = np.log10((hot.counts + 1.0) / (tokens_ + vocabulary + 1.0))
         task = np.int64(TaskContext.get().partitionId()) << np.int64(32)
         rows, docs, size = 0, K.Dealer(parts, 4 << 20), 0
