@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import cached_property, reduce
 
@@ -23,6 +23,7 @@ from gridscope.functions.regions import dictionary
 from gridscope.model import RULE, VIOLATION
 from gridscope.operators.bands import islands
 from gridscope.operators.lineage import cut
+from gridscope.semantic import SURE, NoProvider
 
 KEY = ["file_id", "sheet_ix"]
 REGION_KEY = [*KEY, "region_ix"]
@@ -39,6 +40,11 @@ class Context:
     others: DataFrame
     regions_dictionary: DataFrame | None = None
     cut: bool = False  # whether what most rules read is written once
+    semantic: object = field(default_factory=NoProvider)
+
+    def sure(self, kind: str, candidates: DataFrame) -> DataFrame | None:
+        """The candidates of which a language model is sure; None without one."""
+        return self.semantic.ask(kind, candidates).where(F.col("confidence") >= SURE) if self.semantic.available() else None
 
     @cached_property
     def inside(self) -> DataFrame:
@@ -222,7 +228,8 @@ def platform_characters(x: Context) -> Result:
 
 def zero_candidates(x: Context) -> DataFrame:
     """Numeric columns with blanks and zeros, where blank might mean zero; a semantic provider decides."""
-    cols = x.regions.where("body_end - body_start + 1 >= 3").select(*REGION_KEY, (F.col("body_end") - F.col("body_start") + 1).alias("rows"), F.explode(F.sequence("start_col", "end_col")).alias("col"))
+    cols = x.regions.where("body_end - body_start + 1 >= 3").select(*REGION_KEY, (F.col("body_end") - F.col("body_start") + 1).alias("rows"), "headers", F.explode(F.sequence("start_col", "end_col")).alias("col"))
+    cols = cols.withColumn("head", F.try_element_at("headers", F.col("col"))).drop("headers")
     number = F.coalesce(F.when(F.col("vtype").isin("num", "bool"), F.col("vnum")), F.replace(F.col("s"), F.lit(","), F.lit("")).try_cast("double"))
     n = x.body.groupBy(*REGION_KEY, "col").agg(F.count("*").alias("filled"), F.count(number).alias("numbers"), F.count_if(number == 0).alias("zeros"))
     return cols.join(n, [*REGION_KEY, "col"]).where("numbers >= 0.7 * filled and rows > filled and zeros >= 2")
@@ -230,7 +237,12 @@ def zero_candidates(x: Context) -> DataFrame:
 
 @rule("L1-09")
 def blank_or_zero(x: Context) -> Result:
-    return None, status(x.regions, "L1-09", confidence=0.0)
+    low = x.sure("zero_unlikely", zero_candidates(x))
+    if low is None:
+        return None, status(x.regions, "L1-09", confidence=0.0)
+    found = low.select(*REGION_KEY, "col").join(x.regions.select(*REGION_KEY, "body_start", "body_end"), REGION_KEY)
+    sure = F.when(F.col("body_end") - F.col("body_start") + 1 >= 3, 0.8).otherwise(0.0)
+    return violations(found, "L1-09", "warning", F.lit("blanks beside zeros"), "body_start", "col", "body_end", "col"), status(x.regions, "L1-09", confidence=sure)
 
 
 @rule("L1-10")
@@ -316,7 +328,9 @@ def numeric_purity(x: Context) -> Result:
     n = c.groupBy(*REGION_KEY, "col").agg(F.first("ctype").alias("t"), F.count("*").alias("n"), F.count_if(numberish(F.col("vtype"), F.col("s"))).alias("numbers"), F.count_if(T.matches(F.col("s"), PERCENT)).alias("percents"))
     n = n.where("t = 'numeric' or numbers > 0.5 * n").select(*REGION_KEY, "col", (F.col("percents") >= 0.5 * F.col("n")).alias("percent"))
     c = c.join(n, [*REGION_KEY, "col"]).where(~F.col("vtype").isin("num", "bool")).withColumn("why", impurity(F.col("s"), F.col("percent")))
-    return violations(c.where("why is not null"), "L2-01", F.when(F.col("why") == "note", "warning").otherwise("error"), F.col("why")), None
+    found = violations(c.where("why is not null"), "L2-01", F.when(F.col("why") == "note", "warning").otherwise("error"), F.col("why"))
+    more = x.sure("unit_cells", c.where("why is null").select(*REGION_KEY, "row", "col", "s"))
+    return found if more is None else found.unionByName(violations(more, "L2-01", "error", F.lit("unit"))), None
 
 
 #: Marks for "as above".
@@ -335,6 +349,8 @@ def abbreviation(x: Context) -> Result:
     c = dense.join(x.inside.select(*REGION_KEY, "row", "col", "s"), [*REGION_KEY, "row", "col"], "left").withColumn("s", F.coalesce("s", F.lit(""))).withColumn("ditto", F.col("s").isin(DITTO))
     c = c.withColumn("after", after_value(F.col("s"), F.col("ditto"), [*REGION_KEY, "col"], "row"))
     found = _union(violations(c.where("ditto"), "L2-02", "error", F.col("s")), violations(c.where("s = '' and after"), "L2-02", "warning", F.lit("blank for the value above")))
+    more = x.sure("abbreviations", c.where((F.col("s") != "") & ~F.col("ditto")).join(x.regions.select(*REGION_KEY, "body_start"), REGION_KEY).where(F.col("row") < F.col("body_start") + 50).select(*REGION_KEY, "row", "col", "s"))
+    found = found if more is None else found.unionByName(violations(more, "L2-02", "warning", F.col("s")))
     return found, status(x.regions.where("coalesce(size(stub_cols), 0) <= 0"), "L2-02", passed=F.lit(True), confidence=0.0)
 
 
@@ -390,7 +406,10 @@ def _choices(x: Context) -> DataFrame:
 def choice_variants(x: Context) -> Result:
     v = _choices(x)
     usual = v.where(~F.col("rare")).select(*REGION_KEY, "col", F.col("s").alias("usual"))
-    met = v.where("rare").join(usual, [*REGION_KEY, "col"]).where(same_choice("s", "usual"))  # at most 20 values a column
+    pairs = v.where("rare").join(usual, [*REGION_KEY, "col"])  # at most 20 values a column
+    met = pairs.where(same_choice("s", "usual")).select(*REGION_KEY, "col", "row", "s", "usual")
+    more = x.sure("variants", pairs.select(*REGION_KEY, "col", "row", "s", "usual"))
+    met = met if more is None else met.unionByName(more.drop("confidence"))
     met = met.groupBy(*REGION_KEY, "col", "row", "s").agg(F.min("usual").alias("usual"))
     none = x.regions.join(v.select(*REGION_KEY).distinct(), REGION_KEY, "left_anti")
     return violations(met, "L2-04", "warning", F.concat_ws(" ~ ", "s", "usual")), status(none, "L2-04", passed=F.lit(True), confidence=0.0)
@@ -406,7 +425,10 @@ def other_details(values: DataFrame, by: list[str], value: str, other: str = OTH
 def other_answers(x: Context) -> Result:
     v = _choices(x)
     none = x.regions.join(v.select(*REGION_KEY).distinct(), REGION_KEY, "left_anti")
-    return violations(other_details(v, [*REGION_KEY, "col"], "s"), "L2-05", "warning", F.col("s")), status(none, "L2-05", passed=F.lit(True), confidence=0.0)
+    found = other_details(v, [*REGION_KEY, "col"], "s").select(*REGION_KEY, "col", "row", "s")
+    more = x.sure("other_details", v.where("rare").select(*REGION_KEY, "col", "row", "s"))
+    found = found if more is None else found.unionByName(more.drop("confidence")).distinct()
+    return violations(found, "L2-05", "warning", F.col("s")), status(none, "L2-05", passed=F.lit(True), confidence=0.0)
 
 
 @rule("L2-06")
@@ -464,6 +486,8 @@ def units(x: Context) -> Result:
     number = F.col("vtype").isin("num", "bool") | T.matches(F.col("s"), r"^[\s\-ー−▲△]*[\d,]+\.?\d*\s*$")
     n = first.groupBy(*REGION_KEY, "col").agg((F.count_if(number) / F.count("*")).alias("share")).where("share >= 0.7").select(*REGION_KEY, "col")
     h = x.heads.join(n, [*REGION_KEY, "col"]).where(~names_unit(F.col("s")))
+    clear = x.sure("infer_units", h.select(*REGION_KEY, "col", "s"))
+    h = h if clear is None else h.join(clear.select(*REGION_KEY, "col"), [*REGION_KEY, "col"], "left_anti")
     return violations(h, "L3-04", "warning", F.col("s")), _headless(x, "L3-04")
 
 
@@ -519,6 +543,8 @@ def regions(x: Context) -> Result:
         violations(c.where("not short and alias"), "L3-06", "warning", F.lit("municipality without its ending")),
         violations(one, "L3-06", "info", F.lit("no column of region codes")),
     )
+    unclear = x.sure("header_clarity", x.heads.select(*REGION_KEY, "row", "col", "s").join(cols.select(*REGION_KEY, "col").distinct(), [*REGION_KEY, "col"]))
+    found = found if unclear is None else found.unionByName(violations(unclear, "L3-06", "info", F.concat(F.lit("unclear name: "), F.col("s"))))
     none = x.regions.where("size(header_rows) > 0").join(cols.select(*REGION_KEY).distinct(), REGION_KEY, "left_anti")
     return found, _headless(x, "L3-06").unionByName(status(none, "L3-06", passed=F.lit(True), confidence=0.6))
 
@@ -559,6 +585,9 @@ def long_form(x: Context) -> Result:
         violations(wide, "L3-09", "warning", F.col("kind"), "head", "c0", "head", "c1"),
         violations(counted, "L3-09", "info", F.col("base"), "head", "c0", "head", "c1"),
     )
+    names = heads.groupBy(*REGION_KEY, "head").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.array_sort(F.collect_list(F.struct("col", "s"))).alias("names"))  # of a table, its columns
+    more = x.sure("wide_format", names.withColumn("names", F.transform("names", lambda n: n["s"])).join(wide.select(*REGION_KEY), REGION_KEY, "left_anti"))
+    found = found if more is None else found.unionByName(violations(more, "L3-09", "warning", F.lit("one measure in several columns"), "head", "c0", "head", "c1"))
     return found, _headless(x, "L3-09").unionByName(status(r.where("width < 4"), "L3-09", passed=F.lit(True), confidence=0.8))
 
 

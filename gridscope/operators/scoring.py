@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.model import DEDUCTIONS, FORCED_ZERO
@@ -26,21 +26,19 @@ def marked(checks: DataFrame, deductions: dict | None = None, forced_zero: froze
 def scores(checks: DataFrame, deductions: dict | None = None, forced_zero: frozenset | None = None) -> DataFrame:
     """Scores of all three grains in one pass: grain, keys, level, score, n_checks, n_failed, failed and forced rules."""
     m = marked(checks, deductions, forced_zero)
-    m.createOrReplaceTempView("__gridscope_marked")
-    out = m.sparkSession.sql(
-        """
-        select case grouping_id() when 0 then 'table' when 1 then 'sheet' else 'file' end as grain, file_id, sheet_ix, region_ix, level,
-          case when bool_or(forced) then 0 else greatest(0, 100 - sum(taken)) end as score, bool_or(forced) as forced_zero,
-          count(*) as n_checks, count_if(not passed) as n_failed,
-          array_sort(collect_list(case when not passed then rule_id end)) as failed_rules, array_sort(collect_list(case when forced then rule_id end)) as forced_rules
-        from __gridscope_marked group by grouping sets ((file_id, level, sheet_ix, region_ix), (file_id, level, sheet_ix), (file_id, level))
-        """
-    )
-    return out
+    keys = ["file_id", "level", "sheet_ix", "region_ix"]
+    out = m.groupingSets([keys, keys[:3], keys[:2]], *keys).agg(
+        F.grouping_id(*keys).alias("grouping"), F.bool_or("forced").alias("forced_zero"), F.sum("taken").alias("taken"), F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"),
+        F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("rule_id")))).alias("failed_rules"), F.array_sort(F.collect_list(F.when(F.col("forced"), F.col("rule_id")))).alias("forced_rules"),
+    )
+    grain = F.when(F.col("grouping") == 0, "table").when(F.col("grouping") == 1, "sheet").otherwise("file")
+    score = F.when(F.col("forced_zero"), 0).otherwise(F.greatest(F.lit(0), 100 - F.col("taken")))
+    return out.select(grain.alias("grain"), "file_id", "sheet_ix", "region_ix", "level", score.alias("score"), "forced_zero", "n_checks", "n_failed", "failed_rules", "forced_rules")
 
 
 def violation_groups(violations: DataFrame, by: list[str], samples: int = 3) -> DataFrame:
-    """Counts by severity with the first places, most frequent first."""
-    place = F.struct("start_row", "start_col", "end_row", "end_col")
-    g = violations.groupBy(*by, "severity").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(place)), 1, samples).alias("samples"))
+    """Counts by severity with the first places, most frequent first; only these places are gathered."""
+    place = ["start_row", "start_col", "end_row", "end_col"]
+    ranked = violations.withColumn("k", F.row_number().over(Window.partitionBy(*by, "severity").orderBy(*place)))
+    g = ranked.groupBy(*by, "severity").agg(F.max("k").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.struct(*place)))).alias("samples"))
     return g.orderBy(*by, F.desc("n"), "severity")

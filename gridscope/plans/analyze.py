@@ -11,6 +11,7 @@ from gridscope.model import MODES, RULES
 from gridscope.operators import bulk, rules, scoring
 from gridscope.operators.layout import lay_out
 from gridscope.operators.lineage import cut
+from gridscope.semantic import NoProvider
 from gridscope.sources.files import Workbooks, parse_files, read_records
 
 
@@ -47,21 +48,21 @@ class Analysis:
         return checks, means, bulk.total(means, checks, ["batch_id"])
 
 
-def analyze(workbooks: Workbooks, options: Options = Options(), regions_dictionary: DataFrame | None = None) -> Analysis:
+def analyze(workbooks: Workbooks, options: Options = Options(), regions_dictionary: DataFrame | None = None, semantic=None) -> Analysis:
     layout = cut(lay_out(workbooks.records, options.confidence_threshold))
     regions = layout.where("region_ix is not null").drop("others")
     others = layout.where("region_ix is null").select("file_id", "sheet_ix", F.explode("others").alias("o")).select("file_id", "sheet_ix", F.col("o.row").alias("row"), F.col("o.col").alias("col"), F.col("o.text").alias("text"), F.col("o.kind").alias("kind"))
-    context = rules.Context(workbooks.cells, workbooks.sheets, workbooks.merges, workbooks.references, workbooks.diagnoses, regions, others, regions_dictionary, cut=True)
+    context = rules.Context(workbooks.cells, workbooks.sheets, workbooks.merges, workbooks.references, workbooks.diagnoses, regions, others, regions_dictionary, cut=True, semantic=semantic or NoProvider())
     violations, checks = rules.evaluate(context, options.rule_ids(), options.strict)
     checks = cut(checks)
     return Analysis(workbooks, regions, others, violations, checks, scoring.scores(checks))
 
 
-def analyze_files(spark: SparkSession, path: str | list[str], options: Options = Options()) -> Analysis:
-    return analyze(Workbooks(cut(read_records(spark, path))), options)
+def analyze_files(spark: SparkSession, path: str | list[str], options: Options = Options(), semantic=None) -> Analysis:
+    return analyze(Workbooks(cut(read_records(spark, path))), options, semantic=semantic)
 
 
-def analyze_bytes(spark: SparkSession, files: list[tuple[str, bytes]], options: Options = Options()) -> Analysis:
+def analyze_bytes(spark: SparkSession, files: list[tuple[str, bytes]], options: Options = Options(), semantic=None) -> Analysis:
     """Files given as (name, bytes)."""
     given = spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
-    return analyze(Workbooks(cut(parse_files(given))), options)
+    return analyze(Workbooks(cut(parse_files(given))), options, semantic=semantic)

@@ -257,8 +257,7 @@ _SCORED = f"""with c as ({_CHECKS.format(s='varchar')}), m as (select *, not pas
 
 
 def _checks(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("__gridscope_lineitem")
-    return spark.sql(_CHECKS.format(s="string").replace("from lineitem", "from __gridscope_lineitem"))
+    return spark.sql(_CHECKS.format(s="string").replace("from lineitem", "from {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
 
 
 @query(_SCORED)
@@ -282,8 +281,7 @@ _FOUND = "select l_suppkey % 300 as k, cast(l_linenumber as int) as start_row, c
 
 
 def _violations(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("__gridscope_lineitem")
-    return spark.sql(_FOUND.replace("from lineitem", "from __gridscope_lineitem"))
+    return spark.sql(_FOUND.replace("from lineitem", "from {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
 
 
 @query(f"select k, severity, count(*) as n, min(start_row) as first_row from ({_FOUND}) group by all")
@@ -302,8 +300,7 @@ _TABLES = "select o_custkey as file_id, o_orderkey as table_ix, cast(o_orderkey
 
 @query(f"with t as ({_TABLES}) select file_id, table_ix, above_ix from (select b.file_id, b.table_ix, a.table_ix as above_ix, row_number() over (partition by b.file_id, b.table_ix order by a.end_row desc, a.table_ix) as k from t b join t a using (file_id, start_col, end_col) where not b.labelled and a.labelled and b.start_row - a.end_row - 1 between 0 and 2) where k = 1")
 def header_inherit_asof(spark, sf_dir):
-    read(spark, sf_dir, "orders").createOrReplaceTempView("__gridscope_orders")
-    return bands.nearest_above(spark.sql(_TABLES.replace("from orders", "from __gridscope_orders")), ["file_id"])
+    return bands.nearest_above(spark.sql(_TABLES.replace("from orders", "from {orders}"), orders=read(spark, sf_dir, "orders")), ["file_id"])
 
 
 @query("select 'r' || n_regionkey || '.csv' as file_id, r::int as row, u.col, u.v as vtext from (select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey) as r, n_nationkey, n_name from nation), unnest([{'col': 1, 'v': n_nationkey::varchar}, {'col': 2, 'v': n_name || ', \"x\"'}]) as t(u)")

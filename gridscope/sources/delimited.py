@@ -82,7 +82,7 @@ def _records(text: str, delimiter: str):
             else:
                 field_stray, state = True, plain if state == plain else behind
         elif state == behind:
-            field_stray = field_stray or c != " "
+            field_stray = field_stray or not c.isspace()
         else:
             state = plain
         i += 1

@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscope.operators.lineage import cut
+
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def row_numbers(df: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
-    """df with ``row`` from 2 on in key order, without one task for all rows.
+def row_numbers(df: DataFrame, keys: list[str] | None) -> DataFrame:
+    """df with ``row`` from 2 on, in key order or as it is read, without one task for all rows.
 
-    Rows are ranked within ranges of the first key; a range starts after the
-    sizes of the ranges before it.
+    Rows are dealt in ranges of the keys and counted within each part; a part starts
+    after the sizes of the parts before it. The parts are written, so that sizes and
+    rows are of the same parts.
     """
-    bounds = df.stat.approxQuantile(keys[0], [i / buckets for i in range(1, buckets)], 0.01) if dict(df.dtypes)[keys[0]] in _NUMBERS else []
-    part = F.lit(0)
-    for i, b in enumerate(sorted(set(bounds)), 1):
-        part = F.when(F.col(keys[0]) > b, i).otherwise(part)
-    placed = df.withColumn("__range", part)
-    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))
-    starts = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # one row a range
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
-    return placed.withColumn("row", rank).join(F.broadcast(starts), "__range").withColumn("row", (F.col("row") + F.coalesce("before", F.lit(0)) + 1).cast("int")).drop("__range", "before")
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    placed = cut(placed.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a part
+    row = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before") + 2
+    return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("row", row.cast("int")).drop("__id", "__part", "__before")
 
 
 def cells(df: DataFrame, file_id: str, keys: list[str] | None = None, sheet_ix: int = 0) -> DataFrame:
     """(file_id, sheet_ix, row, col, vtype, vtext, vnum) of a DataFrame; nested columns become JSON text."""
     columns = df.columns
-    placed = row_numbers(df, keys) if keys else df.withColumn("row", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + 1).cast("int"))
+    placed = row_numbers(df, keys)
 
     def one(c: str, i: int):
         t = dict(df.dtypes)[c]
