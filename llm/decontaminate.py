@@ -32,7 +32,7 @@ def text_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Word hashes of lower-cased texts, and the first word of each text."""
     low = K.LOWER[raw]
     s, e, first = K.words(low, offs, K.ALNUM_BREAK)
-    return K.span_hash(K.prefix_hash(low), s, e), first
+    return K.hash_words(low, K.prefix_hash(low), s, e), first
 
 
 def _gram(h: np.ndarray, k: int) -> np.ndarray:

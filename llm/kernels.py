@@ -9,6 +9,7 @@ to differ in their hash.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -126,8 +127,21 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Longer words are hashed apart: polynomials modulo 2**64 collide on some long strings, of 1,024 bytes at least.
+LONG_WORD = 512
+
+
+def hash_words(raw: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word raw[start:end]; prefix is raw's prefix_hash."""
+    h = span_hash(prefix, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    return span_hash(prefix_hash(LOWER[raw] if lower else raw), starts, ends)
+    raw = LOWER[raw] if lower else raw
+    return hash_words(raw, prefix_hash(raw), starts, ends)
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -68,7 +68,7 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     low = K.LOWER[raw]
     s, e, first = K.words(low, offs)
     prefix = K.prefix_hash(low)
-    h = K.span_hash(prefix, s, e)
+    h = K.hash_words(low, prefix, s, e)
     docs = len(offs) - 1
     tail = K.span_hash(prefix, np.maximum(s, e - 3), e)
     leaf = (_END_KIND[low[e - 1]] * ENDINGS + (tail % K.U64(ENDINGS)).astype(np.int64)) if len(s) else np.zeros(0, np.int64)

@@ -85,24 +85,31 @@ def _induce_waves(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, lms: np.n
 
 
 def _induce_scan(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    head, tail = (ends - sizes).tolist(), (ends - 1).tolist()
-    x, t = s.tolist(), small.tolist()
-    sa = [-1] * len(x)
-    for i in reversed(lms.tolist()):
-        sa[tail[x[i]]] = i
-        tail[x[i]] -= 1
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not t[j]:
-            sa[head[x[j]]] = j
-            head[x[j]] += 1
-    tail = (ends - 1).tolist()
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and t[j]:
-            sa[tail[x[j]]] = j
-            tail[x[j]] -= 1
+    n, ends = len(s), np.cumsum(sizes)
+    start = np.full(n, -1, dtype=np.int64)
+    order = np.argsort(s[lms], kind="stable")
+    c = s[lms][order]
+    count = np.bincount(c, minlength=len(sizes))
+    start[ends[c] - count[c] + np.arange(len(c)) - (np.cumsum(count) - count)[c]] = lms[order]
+    # by suffix: the symbol before it if that is of the type to induce, else -1; at -1, where no suffix is yet, -1 as well
+    before = np.full(n + 1, -1, dtype=np.int64)
+    before[1:n] = np.where(small[:-1], -1, s[:-1])
+    larger = before.tolist()
+    before[1:n] = np.where(small[:-1], s[:-1], -1)
+    smaller = before.tolist()
+    sa, head, tail = start.tolist(), (ends - sizes).tolist(), (ends - 1).tolist()
+    for i in sa:  # reads what it has put further on
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     return np.array(sa, dtype=np.int64)
 
 

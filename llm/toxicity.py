@@ -106,7 +106,7 @@ _CLAUSE[[ord(c) for c in ".;:!?\n\r"]] = 1
 
 def word_hash(word: str | bytes) -> int:
     raw = np.frombuffer(word.encode() if isinstance(word, str) else word, dtype=np.uint8)
-    return int(K.span_hash(K.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+    return int(K.hash_words(raw, K.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
 
 
 class Lexicon:
@@ -136,7 +136,7 @@ class Lexicon:
         s, e, first = K.words(low, offs, K.ALNUM_BREAK)
         prefix = K.prefix_hash(low)
         out = [(0.0, 0.0, 0.0, float(n)) for n in np.diff(first).tolist()]
-        at, row = self._find(K.span_hash(prefix, s, e), self.parts[0])
+        at, row = self._find(K.hash_words(low, prefix, s, e), self.parts[0])
         found = {p: (self.parts[0][2][r], float(self.parts[0][3][r])) for p, r in zip(at.tolist(), row.tolist())}
         for k, part in zip(STEMS, self.parts[1:]):
             if len(part[0]):
