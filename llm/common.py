@@ -12,12 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.kernels import trim
+
 _shipped: set[str] = set()
 
 
+#: Bytes of a batch that tasks pass to Python: texts may be long, and a batch is held several times.
+BATCH = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the executors once per application."""
+    """Send this subpackage to the executors once per application; batches to Python stay small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -100,3 +107,4 @@ def batches(it: Iterator[pa.RecordBatch], most_rows: int = 2000) -> Iterator[pa.
     for batch in it:
         for i in range(0, batch.num_rows, most_rows):
             yield batch.slice(i, most_rows)
+    trim()
