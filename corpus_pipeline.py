@@ -10,7 +10,7 @@ return the columns of documents.
 3. near_duplicates: of each group of near-equal documents the one with the
    smallest id stays. Rows that repeat an id are one document and stay or go together.
 4. decontamination: documents in which a benchmark window occurs go.
-5. tokens: what is left is encoded; one row per document.
+5. tokens: what is left is encoded; one row per document, with its ids (packed, four bytes each).
 
 Null ids pass every stage: they name no document that could stay instead.
 """
@@ -52,7 +52,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(spark, docs)
+    return bpe.encode_documents(spark, docs, with_ids=True)
 
 
 STAGES = [
