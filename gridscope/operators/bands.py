@@ -43,7 +43,7 @@ def nearest_above(tables: DataFrame, by: list[str], gap: int = 2) -> DataFrame:
     return met.withColumn("k", F.row_number().over(w)).where("k = 1").select(*by, "table_ix", "above_ix")
 
 
-def missing_indices(df: DataFrame, by: list[str], index: str, start: Column, end: Column) -> DataFrame:
-    """Indices between start and end that no row has: an anti-join with the dense sequence."""
-    dense = df.select(*by, F.explode(F.sequence(start, end)).alias(index)).distinct()
-    return dense.join(df.where(F.col("present")).select(*by, index), [*by, index], "left_anti")
+def missing_indices(spans: DataFrame, present: DataFrame, by: list[str], index: str, start: Column, end: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Indices between start and end of each span that ``present`` (by, index) lacks: an anti-join with the dense sequence."""
+    dense = spans.select(*by, *keep, F.explode(F.sequence(start, end)).alias(index))
+    return dense.join(present.select(*by, index), [*by, index], "left_anti")

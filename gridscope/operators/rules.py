@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType
 from gridscope.functions import text as T
 from gridscope.functions.regions import dictionary
 from gridscope.model import RULE, VIOLATION
-from gridscope.operators.bands import islands
+from gridscope.operators.bands import islands, missing_indices
 from gridscope.operators.lineage import cut
 from gridscope.semantic import SURE, NoProvider
 
@@ -119,8 +119,8 @@ def one_table(x: Context) -> Result:
 def fragments(x: Context) -> Result:
     tall = x.regions.where("end_row - start_row + 1 > 2")
     said = x.inside.where("has_value and s <> ''")
-    rows = tall.select(*REGION_KEY, "start_col", "end_col", F.explode(F.sequence("start_row", "end_row")).alias("row")).join(said.select(*REGION_KEY, "row").distinct(), [*REGION_KEY, "row"], "left_anti")
-    cols = tall.select(*REGION_KEY, "start_row", "end_row", F.explode(F.sequence("start_col", "end_col")).alias("col")).join(said.select(*REGION_KEY, "col").distinct(), [*REGION_KEY, "col"], "left_anti")
+    rows = missing_indices(tall, said, REGION_KEY, "row", F.col("start_row"), F.col("end_row"), ("start_col", "end_col"))
+    cols = missing_indices(tall, said, REGION_KEY, "col", F.col("start_col"), F.col("end_col"), ("start_row", "end_row"))
     slaves = x.inside.where(F.col("m_col").isNotNull() & (F.col("m_col") != F.col("col"))).groupBy(*REGION_KEY, "col").agg(F.countDistinct("row").alias("slaves"))
     cols = cols.join(slaves, [*REGION_KEY, "col"], "left").where(F.coalesce("slaves", F.lit(0)) < F.col("end_row") - F.col("start_row") + 1)
     order = Window.partitionBy(*KEY).orderBy("start_row", "start_col")

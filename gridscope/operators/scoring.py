@@ -39,6 +39,6 @@ def scores(checks: DataFrame, deductions: dict | None = None, forced_zero: froze
 def violation_groups(violations: DataFrame, by: list[str], samples: int = 3) -> DataFrame:
     """Counts by severity with the first places, most frequent first; only these places are gathered."""
     place = ["start_row", "start_col", "end_row", "end_col"]
-    ranked = violations.withColumn("k", F.row_number().over(Window.partitionBy(*by, "severity").orderBy(*place)))
-    g = ranked.groupBy(*by, "severity").agg(F.max("k").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.struct(*place)))).alias("samples"))
+    ranked = violations.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "severity").orderBy(*place)))
+    g = ranked.groupBy(*by, "severity").agg(F.max("__rank").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__rank") <= samples, F.struct(*place)))).alias("samples"))
     return g.orderBy(*by, F.desc("n"), "severity")

@@ -119,8 +119,8 @@ def hidden_groups(spark, sf_dir):
 @query("select l_orderkey, i as l_linenumber from (select l_orderkey, max(l_linenumber) as m from lineitem group by l_orderkey), unnest(range(1, m::bigint + 1)) as t(i) where (l_orderkey, i) not in (select l_orderkey, l_linenumber from lineitem where l_returnflag = 'N')")
 def blank_rows(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_returnflag") == "N").alias("present"))  # noqa: E741
-    l = l.join(l.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m")), "l_orderkey")  # noqa: E741
-    return bands.missing_indices(l, ["l_orderkey"], "l_linenumber", F.lit(1).cast("long"), F.col("m"))
+    spans = l.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
+    return bands.missing_indices(spans, l.where("present"), ["l_orderkey"], "l_linenumber", F.lit(1).cast("long"), F.col("m"))
 
 
 @query("select l_suppkey, sum(n) / (count(*) * 4.0)::double as fill_rate, count(*) filter (where n >= 1.2) / count(*)::double as row_rate from (select l_suppkey, l_orderkey, count(*) filter (where l_discount > 0.02) as n from lineitem group by all) group by l_suppkey")

@@ -27,9 +27,9 @@ def summaries(violations: DataFrame, by: list[str]) -> DataFrame:
     """
     place = a1_range(F.col("start_row"), F.col("start_col"), F.col("end_row"), F.col("end_col"))
     v = violations.withColumn("place", place)
-    v = v.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("start_row", "start_col", "place", "detail", "severity")))
-    few = F.when(F.col("k") <= SUMMARISE_ABOVE, F.struct("k", "place", "detail", "severity"))
-    g = v.groupBy(*by).agg(F.max("k").cast("long").alias("n"), F.array_sort(F.collect_list(few)).alias("all"), *[F.count_if(F.col("severity") == c).alias(c) for c in ("error", "warning", "info")])
+    v = v.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy("start_row", "start_col", "place", "detail", "severity")))
+    few = F.when(F.col("__rank") <= SUMMARISE_ABOVE, F.struct("__rank", "place", "detail", "severity"))
+    g = v.groupBy(*by).agg(F.max("__rank").cast("long").alias("n"), F.array_sort(F.collect_list(few)).alias("all"), *[F.count_if(F.col("severity") == c).alias(c) for c in ("error", "warning", "info")])
     many = F.col("n") > SUMMARISE_ABOVE
     text = lambda f: F.array_join(F.transform(F.when(many, F.slice("all", 1, SAMPLES)).otherwise(F.col("all")), lambda x: x[f]), "; ")
     counts = F.array_join(F.array_compact(F.array(*[F.when(F.col(s) > 0, F.concat(F.lit(f"{s}: "), F.col(s).cast("string"))) for s in ("error", "warning", "info")])), "; ")
