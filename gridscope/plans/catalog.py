@@ -148,7 +148,7 @@ def abbreviation_gap(spark, sf_dir):
     return l.withColumn("after", rules.after_value(F.col("v"), F.col("v").isin(rules.DITTO), ["l_orderkey"], "l_linenumber"))
 
 
-_ANSWER = "case when o_orderkey % 97 = 0 then 'その他' || cast(o_custkey % 5 as {s}) else o_orderpriority end"
+_ANSWER = "case when o_orderkey % 97 = 0 then 'その他' || cast(o_orderkey % 5 as {s}) when o_orderkey % 193 = 0 then o_orderpriority || '※1' else o_orderpriority end"
 _CHOICES = f"""select *, n <= 2 and n::double / rows <= 0.05 as rare from (select part, v, n, row, sum(n) over (partition by part)::bigint as rows, count(*) over (partition by part) as kinds from (
       select o_custkey % 50 as part, {_ANSWER.format(s='varchar')} as v, count(*) as n, min(o_orderkey) as row from orders group by all)) where rows >= 20 and kinds <= 20"""
 
@@ -163,7 +163,8 @@ def choice_outliers(spark, sf_dir):
     return _answers(spark, sf_dir)
 
 
-@query()
+@query(f"""with c as ({_CHOICES}) select a.part, a.v, u.v as usual from c a join c u on a.part = u.part and a.rare and not u.rare
+      and (a.v = u.v || '※1' or u.v = a.v || '※1' or starts_with(a.v, 'その他') and starts_with(u.v, 'その他'))""")
 def choice_variants(spark, sf_dir):
     v = _answers(spark, sf_dir)
     usual = v.where(~F.col("rare")).select("part", F.col("v").alias("usual"))
@@ -315,6 +316,28 @@ def _tables(spark, sf_dir) -> dict:
     return {name: (read(spark, sf_dir, name), k) for name, k in keys.items()}
 
 
+_RANGE = "cast(l_linenumber as int) as r0, cast(l_partkey % 800 + 1 as int) as c0, cast(l_linenumber + l_suppkey % 3 as int) as r1, cast(l_partkey % 800 + 1 + l_orderkey % 2 as int) as c1"
+
+
+@query(f"select {_RANGE} from lineitem")
+def a1_ranges(spark, sf_dir):
+    """Ranges written as A1 text, or as numbers, and read back."""
+    r = read(spark, sf_dir, "lineitem").selectExpr(*_RANGE.split(", "))
+    numbers = F.format_string("R%dC%d:R%dC%d", "r0", "c0", "r1", "c1")
+    text = F.when(F.col("r0") % 2 == 0, T.a1_range(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))).otherwise(numbers)
+    return r.select(T.boundaries(text).alias("x")).select("x.*")
+
+
+_SECONDS = "o_orderkey * 37 % 200000 - 50000"
+
+
+@query(f"""select o_orderkey, case when s < 0 then '-' else '' end || case when s = 0 then 'PT0S' else 'P' || case when abs(s) >= 86400 then (abs(s) // 86400) || 'D' else '' end || case when abs(s) % 86400 > 0 then 'T' else '' end
+      || case when abs(s) % 86400 >= 3600 then (abs(s) % 86400 // 3600) || 'H' else '' end || case when abs(s) % 3600 >= 60 then (abs(s) % 3600 // 60) || 'M' else '' end || case when abs(s) % 60 > 0 then (abs(s) % 60) || 'S' else '' end end as duration
+      from (select o_orderkey, {_SECONDS} as s from orders)""")
+def iso_durations(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.iso_duration(F.expr(_SECONDS)).alias("duration"))
+
+
 @query()
 def table_scores(spark, sf_dir):
     """The flagship: tables as sheets, all rules, and level scores."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridscope import ship
 from gridscope.model import RECORD
+from gridscope.operators.bands import islands
 from gridscope.sources import delimited, ooxml
 
 COLUMNS = [c.split()[0] for c in RECORD.replace("\n", " ").split(",")]
@@ -157,6 +158,13 @@ class Workbooks:
     def sheets(self) -> DataFrame:
         return self._kind("sheet").select("file_id", "sheet_ix", F.col("vtext").alias("sheet"), F.from_json("extra", SHEET).alias("s")).select("file_id", "sheet_ix", "sheet", "s.*")
 
+    @property
+    def outlines(self) -> DataFrame:
+        """Groups of the outline: runs of rows (axis row) and columns (axis col) of a level above 0."""
+        levels = self._kind("sheet").select("file_id", "sheet_ix", F.from_json("extra", "row_levels map<string,int>, col_levels map<string,int>").alias("l"))
+        found = levels.select("file_id", "sheet_ix", F.lit("row").alias("axis"), F.explode("l.row_levels").alias("i", "level")).unionByName(levels.select("file_id", "sheet_ix", F.lit("col").alias("axis"), F.explode("l.col_levels").alias("i", "level")))
+        return islands(found.where("level > 0").withColumn("i", F.col("i").cast("int")), ["file_id", "sheet_ix", "axis"], "i").drop("island")
+
     @property
     def errors(self) -> DataFrame:
         return self._kind("error").select("file_id", F.col("vtext").alias("name"), F.get_json_object("extra", "$.error").alias("error"))

@@ -19,6 +19,12 @@ def test_a1(spark):
     assert [r[0] for r in df.select(T.a1(F.col("r"), F.col("c"))).collect()] == ["A1", "Z2", "AA3", "ZZ4", "AAA5", "XFD6"]
 
 
+def test_boundaries(spark):
+    texts = ["B3", "$A$1:c3", "AA10", "A:C", "2:5", "R1C2", "R1C2:R3C4", "row 3", "3行", "C列", "column C", "合計", "", None, "7"]
+    got = [tuple(x) if x else None for x in values(spark, texts, T.boundaries)]
+    assert got == [(3, 2, 3, 2), (1, 1, 3, 3), (10, 27, 10, 27), (None, 1, None, 3), (2, None, 5, None), (1, 2, 1, 2), (1, 2, 3, 4), (3, None, 3, None), (3, None, 3, None), (None, 3, None, 3), (None, 3, None, 3), None, None, None, None]
+
+
 def test_whitespace(spark):
     texts = [" a", "a  b", "ア　x", "a\n", "1\n23456789", "1\n2345678", "漢　b"]
     assert values(spark, texts, rules.whitespace_issues) == [["edge"], ["run"], [], [], [], ["newline"], ["wide"]]
