@@ -65,3 +65,14 @@ def test_workbook_records():
     rows = list(files.parse("b.xlsx", workbook(SHEET, DRAWING), "id"))
     slaves = [r for r in rows if r["kind"] == "cell" and r.get("m_row") == 4]
     assert len(slaves) == 4 and {r["kind"] for r in rows} == {"sheet", "merge", "cell", "formula", "error_ref", "object"}
+
+
+def test_outline_groups(spark):
+    sheet = "<sheetData>" + "".join(f'<row r="{r}"{" outlineLevel=" + chr(34) + "1" + chr(34) if r in (2, 3, 5) else ""}><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, 7)) + "</sheetData>"
+    given = spark.createDataFrame([("b.xlsx", bytearray(workbook(sheet)))], "path string, content binary")
+    got = files.Workbooks(files.parse_files(given)).outlines.collect()
+    assert sorted((r.axis, r.start, r.end, r.n) for r in got) == [("row", 2, 3, 2), ("row", 5, 5, 1)]
+
+
+def test_white_space_behind_a_quote():
+    assert delimited.diagnose('a,b\n"x" \t,2\n', ",").counts == {} and delimited.diagnose('a,b\n"x"\ty,2\n', ",").counts == {"unquoted_quote": 1}
