@@ -33,7 +33,7 @@ _SPACE = regex.compile(f"[{WHITE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
 SCAN_MOST = 64
 #: Chunks that a Python worker keeps the ids of.
-CACHE_MOST = 1_000_000
+CACHE_MOST = 200_000
 #: Ids lie below; a pair's rank and merged id share an integer.
 BITS = 1 << 16
 NONE = 1 << 62
