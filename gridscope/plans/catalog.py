@@ -338,12 +338,23 @@ def iso_durations(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", T.iso_duration(F.expr(_SECONDS)).alias("duration"))
 
 
-@query()
+#: Columns of the dropped tables: table, place, name, whether numeric.
+_DROPPED = "(values ('region', 1, 'r_regionkey', true), ('region', 2, 'r_name', false), ('nation', 1, 'n_nationkey', true), ('nation', 2, 'n_name', false), ('nation', 3, 'n_regionkey', true), ('supplier', 1, 's_suppkey', true), ('supplier', 2, 's_name', false), ('supplier', 3, 's_nationkey', true), ('supplier', 4, 's_acctbal', true), ('part', 1, 'p_partkey', true), ('part', 2, 'p_name', false), ('part', 3, 'p_brand', false), ('part', 4, 'p_type', false), ('part', 5, 'p_size', true), ('part', 6, 'p_retailprice', true)) as c(t, i, name, number)"
+_CHOICE_COLUMNS = " union all ".join(f"select '{t}' as t from {t} having count({c}) >= 20 and count(distinct {c}) <= 20" for t, c in (("region", "r_name"), ("nation", "n_name"), ("supplier", "s_name"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type")))
+
+
+@query(
+    f"""with c as (select *, max(i) over (partition by t) as width from {_DROPPED}), choice as ({_CHOICE_COLUMNS}),
+    tables as (select t, bool_or(not number and i <= 3 and i < width) as stub, bool_or(number and not list_has_any(string_split(name, '_'), ['id', 'code', 'key', 'name', 'type', 'number', 'count', 'index', 'year'])) as unitless, t in (select t from choice) as choice from c group by t),
+    checks as (select t, 1 as level, 8 as n, [] as failed from tables union all select t, 2, 2 + stub::int + 2 * choice::int, [] from tables union all select t, 3, 5, case when unitless then ['L3-04'] else [] end from tables)
+    select grain, t as file_id, case when grain <> 'file' then 0 end as sheet_ix, case when grain = 'table' then 0 end as region_ix, level, (100 - 10 * len(failed))::bigint as score, false as forced_zero, n::bigint as n_checks, len(failed)::bigint as n_failed, array_to_string(failed, ',') as failed_rules, '' as forced_rules
+    from checks, (values ('table'), ('sheet'), ('file')) as g(grain)"""
+)
 def table_scores(spark, sf_dir):
     """The flagship: tables as sheets, all rules, and level scores."""
     x = context(spark, _tables(spark, sf_dir))
     _, checks = rules.evaluate(x, list(rules.REGISTRY))
-    return scoring.scores(checks)
+    return scoring.scores(checks).withColumns({c: F.array_join(c, ",") for c in ("failed_rules", "forced_rules")})
 
 
 QUERIES.update(rule_queries.QUERIES)
