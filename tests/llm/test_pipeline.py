@@ -1,8 +1,12 @@
+import random
+
 import corpus_pipeline
 
 
 def test_stages(spark, tmp_path):
-    good = [f"this is sentence number {w} of a clean little document about {w} things and more words to fill it up nicely" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()]
+    r = random.Random(5)
+    vocabulary = "river stone garden window morning letter market silver forest bridge summer winter paper candle mirror pocket village harbour ladder engine valley kitchen orchard shadow whisper thunder blanket compass lantern meadow saddle timber voyage anchor basket copper feather glacier hammer island".split()
+    good = [f"this is a clean little document about {' '.join(r.sample(vocabulary, 14))}" for _ in range(10)]
     near = good[0] + " and one more closing line of many words that make it long enough to count as a near copy of something\n"
     item = "every benchmark question has some ten words or more inside its text"
     texts = good * 3 + [g.upper().replace(" ", "!! ") for g in good] + [near + good[1], f"leak {item} here", None, ""]
