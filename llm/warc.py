@@ -94,9 +94,11 @@ CLASSES = ((1 << 14, 6000), (1 << 20, 96), (1 << 62, 3))
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST, classes: tuple = CLASSES) -> None:
     """Write each page as a capture of three records, in a folder for each class of size (equal payloads are in one)."""
     ship(spark)
-    begin = -1
+    begin, size = -1, F.coalesce(F.octet_length("html"), F.lit(0))
+    largest = pages.agg(F.max(size)).first()[0] or 0
     for k, (most, records) in enumerate(classes):
-        size = F.coalesce(F.octet_length("html"), F.lit(0))
+        if k and largest <= begin:
+            break  # no larger pages
         planned = plan_records(pages.where((size > begin) & (size <= most)), least).select("page_id", "row", "url", "html", "payload_digest", "refers_to", "refers_row")
         planned.mapInArrow(_make, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", records).option("compression", "gzip").text(f"{path}/size{k}")
         begin = most
