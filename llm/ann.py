@@ -5,6 +5,8 @@ own codebook (k-means on at most ``sample`` distinct vectors); a vector's cell i
 the pair of its centroids. A query walks through pairs in order of the summed
 distance with a heap until their entries reach ``share`` of all, and ``least`` at least; the
 entries of these cells are reranked by the exact cosine in double precision.
+A query is sent with a bit for each cell and once, in blocks of ``QUERIES``, to meet blocks of
+``BLOCK`` entries in cell order; a task holds one pair of blocks at a time, and the best so far.
 Vectors without clusters, as here, have their neighbours in far cells: a tenth of
 the entries then gives half of the true neighbours, a half of them over 0.9, so
 the share is a parameter to lower where vectors cluster.
@@ -13,7 +15,8 @@ Every valid vector is indexed. Vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part, and neither do
 rows with a null id. Rows that repeat an id count once (the largest vector by its bytes).
 Equal scores go to the smaller id. Large cells are dealt over several tasks by
-their known size, so copies of one vector do not meet in one task.
+their known size, so copies of one vector do not meet in one task; copies in a block are
+held as one vector with all its ids, of which a query takes the smallest.
 """
 
 from __future__ import annotations
@@ -26,18 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import drop, ship, table, written
+from llm.common import drop, partitions, ship, table, written
 
 SAMPLE, SHARE, LEAST, TOP = 16_000, 0.55, 4000, 5
 #: Entries of a cell on average, and the most centroids of a half.
-CELL, CENTROIDS_MOST = 12, 256
-BLOCK, SALT_ROWS, QUERIES = 2048, 8192, 256
-PACKED = "cell int, salt int, n long, ids binary, vectors binary"
+CELL, CENTROIDS_MOST = 12, 64
+BLOCK, SALT_ROWS, QUERIES = 2048, 8192, 1024
+#: Of each vector of a block its cell and number of ids; the ids, ascending for each vector; the vectors.
+LISTS = {"cells": "<i4", "counts": "<i4", "ids": "<i8", "vectors": None}
+ASKED = {"q_ids": "<i8", "q_cells": "u1", "q_vectors": None}
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Rows (vec_id long, v array<double>) that take part."""
-    v = F.col(column).cast("array<double>")
+    """Rows (vec_id long, v) that take part; v is array<float> if the column is, else array<double>."""
+    single = vectors.select(column).schema[0].dataType.simpleString() == "array<float>"
+    v = F.col(column) if single else F.col(column).cast("array<double>")
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
@@ -74,6 +80,7 @@ class Codebooks:
         u = _unit(sample) if len(sample) else sample
         self.books = [kmeans(u[:, : self.half], k), kmeans(u[:, self.half :], k)] if sample.shape[1] > 1 else [kmeans(u, k), np.zeros((1, 0))]
         self.counts: dict[int, int] = {}
+        self.kind = "<f8"
 
     def distances(self, v: np.ndarray) -> list[np.ndarray]:
         u = _unit(v)
@@ -105,12 +112,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _pack(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    c, s, n, i, v = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(i, pa.binary()), pa.array(v, pa.binary())], names)
+def _kind(rows: DataFrame) -> str:
+    """How vectors are packed: in the precision they came in."""
+    return "<f4" if rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-NAMES = ["cell", "salt", "n", "ids", "vectors"]
+def _binaries(names) -> str:
+    return ", ".join(f"{c} binary" for c in names)
+
+
+def _pack(rows: list[tuple], names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(len(names))], list(names))
 
 
 def build(spark: SparkSession, rows: DataFrame, centroids: int | None = None, sample: int = SAMPLE) -> tuple[Codebooks, DataFrame]:
@@ -119,32 +131,30 @@ def build(spark: SparkSession, rows: DataFrame, centroids: int | None = None, sa
     rows = written(spark, rows.select("vec_id", "v"), "ann-vectors")
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()  # at most ``sample`` rows
     k = centroids or min(CENTROIDS_MOST, max(4, int((rows.count() / CELL) ** 0.5)))
-    books = Codebooks(_matrix(drawn.column("v")) if drawn.num_rows else np.zeros((0, 2)), k)
+    books = Codebooks(_matrix(drawn.column("v")).astype(np.float64) if drawn.num_rows else np.zeros((0, 2)), k)
+    books.kind = kind = _kind(rows)
     sent = spark.sparkContext.broadcast(books)
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.cells(_matrix(batch.column(1))), pa.int32())], ["vec_id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.cells(_matrix(batch.column(1)).astype(np.float64)), pa.int32())], ["vec_id", "v", "cell"])
 
-    placed = rows.mapInArrow(assign, "vec_id long, v array<double>, cell int")
+    placed = rows.mapInArrow(assign, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, cell int")
     books.counts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # centroids squared at most
     placed = placed.withColumn("salt", F.pmod(F.hash("vec_id"), _salts(books)).cast("int"))
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if not batch.num_rows:
-                continue
-            ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            key = batch.column(2).to_numpy().astype(np.int64) << 32 | batch.column(3).to_numpy()
-            out = []
-            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
-                for k in range(0, len(part), BLOCK):
-                    x = part[k : k + BLOCK]
-                    out.append((int(key[x[0]] >> 32), int(key[x[0]] & 0xFFFFFFFF), len(x), ids[x].astype("<i8").tobytes(), v[x].astype("<f8").tobytes()))
-            yield _pack(out, NAMES)
-
-    packed = placed.repartition("cell", "salt").sortWithinPartitions("cell", "salt").select("vec_id", "v", "cell", "salt").mapInArrow(pack, PACKED)
+            for k in range(0, batch.num_rows, BLOCK):
+                ids, v, cell = (batch.column(c).slice(k, BLOCK) for c in range(3))
+                ids, v, cell = ids.to_numpy(), _matrix(v), cell.to_numpy()
+                first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1) | (cell[1:] != cell[:-1])]))
+                counts = np.diff(np.concatenate([first, [len(ids)]]))
+                yield _pack([(cell[first].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), v[first].astype(kind).tobytes())], LISTS)
+
+    # copies of a vector follow each other, by id
+    packed = placed.repartition("cell", "salt").sortWithinPartitions("cell", "v", "vec_id").select("vec_id", "v", "cell").mapInArrow(pack, _binaries(LISTS))
     lists = written(spark, packed, "ann-lists")
     drop(spark, rows)
     return books, lists
@@ -157,68 +167,104 @@ def _salts(books: Codebooks):
 
 
 class Best:
-    """The ``top`` best entries of each query so far."""
+    """The ``top`` best entries of each query of a block so far."""
 
-    def __init__(self, top: int):
-        self.top, self.parts, self.n = top, [], 0
+    def __init__(self, queries: np.ndarray, top: int):
+        self.queries, self.top = queries, top
+        self.ids, self.scores = np.full((len(queries), top), -1, np.int64), np.full((len(queries), top), -np.inf)
 
     def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
-        self.parts.append((q, i, s))
-        self.n += len(q)
-        if self.n > 500_000:
-            self.cut()
-
-    def cut(self) -> tuple[np.ndarray, ...]:
-        q, i, s = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        """Entries i with scores s, of queries by their places q."""
+        met = np.unique(q)
+        q = np.concatenate([q, np.repeat(met, self.top)])
+        i, s = np.concatenate([i, self.ids[met].ravel()]), np.concatenate([s, self.scores[met].ravel()])
         order = np.lexsort((i, -s, q))
         q, i, s = q[order], i[order], s[order]
-        begin = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - begin < self.top
-        self.parts = [(q[keep], i[keep], s[keep])]
-        self.n = int(keep.sum())
-        return self.parts[0]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.top
+        self.ids[q[keep], rank[keep]], self.scores[q[keep], rank[keep]] = i[keep], s[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        got = self.scores > -np.inf
+        q = np.repeat(self.queries, got.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(self.ids[got], pa.int64()), pa.array(self.scores[got], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def meet(best: Best, vectors: np.ndarray, visited: np.ndarray, block: tuple[np.ndarray, ...]) -> None:
+    """Rerank a block's entries (cells, counts, ids, vectors) for queries that visit their cells (bits)."""
+    cells, counts, ids, entries = block
+    top, start = best.top, np.cumsum(counts) - counts
+    begin = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    own = cells[begin]
+    seen = visited[:, own >> 3] >> (7 - (own & 7)).astype(np.uint8) & 1
+    near = _unit(vectors) @ _unit(entries).T
+    near[np.repeat(seen == 0, np.diff(np.concatenate([begin, [len(cells)]])), axis=1)] = -9
+    bound = np.maximum(best.scores[:, -1], -8) - 1e-9
+    if (near >= bound[:, None]).sum() > 2 * top * len(vectors) and len(cells) > top:
+        # one more than ``top``, since the query itself may be among them
+        bound = np.maximum(bound, np.partition(near, len(cells) - top - 1, axis=1)[:, len(cells) - top - 1] - 1e-9)
+    a, b = np.nonzero(near >= np.maximum(bound, -8)[:, None])
+    for k in range(0, len(a), 1 << 15):
+        q, e = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+        score = cosine(vectors[q], entries[e])
+        # of copies the smallest ids
+        n = np.minimum(counts[e], top + 1)
+        at = np.repeat(start[e] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        q, i, score = np.repeat(q, n), ids[at], np.repeat(score, n)
+        other = i != best.queries[q]
+        best.add(q[other], i[other], score[other])
+
+
+def asked(spark: SparkSession, books: Codebooks, queries: DataFrame, candidates: int) -> DataFrame:
+    """Queries in blocks, each query once: ids, vectors and a bit for each cell they visit."""
+    sent, kind = spark.sparkContext.broadcast(books), _kind(queries)
+
+    def visit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, last, bits = sent.value, None, b""
+        for batch in it:
+            for k in range(0, batch.num_rows, QUERIES):
+                part, out = batch.slice(k, QUERIES), []
+                v = _matrix(part.column(1))
+                for q, (x, a, b) in enumerate(zip(v, *books.distances(v.astype(np.float64)))):
+                    if last is None or (x != last).any():
+                        on = np.zeros(len(a) * len(b), bool)
+                        on[list(books.walk(a, b, candidates))] = True
+                        last, bits = x, np.packbits(on).tobytes()
+                    out.append((part.column(0)[q].as_py(), bits, x.astype(kind).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["vec_id", "cells", "v"])
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k in range(0, batch.num_rows, QUERIES):
+                ids, bits, v = (batch.column(c).slice(k, QUERIES) for c in range(3))
+                yield _pack([(ids.to_numpy().astype("<i8").tobytes(), b"".join(bits.to_pylist()), b"".join(v.to_pylist()))], ASKED)
+
+    # copies are walked for once in a task, and are dealt to a few
+    spread = queries.select("vec_id", "v").repartition(partitions(spark), "v", F.pmod(F.xxhash64("vec_id"), F.lit(8))).sortWithinPartitions("v")
+    walked = written(spark, spread.mapInArrow(visit, "vec_id long, cells binary, v binary"), "ann-walked")
+    out = written(spark, walked.repartition(-(-walked.count() // QUERIES) or 1).mapInArrow(pack, _binaries(ASKED)), "ann-asked")
+    drop(spark, walked)
+    return out
 
 
 def search(spark: SparkSession, books: Codebooks, lists: DataFrame, queries: DataFrame, share: float = SHARE, least: int = LEAST, top: int = TOP) -> DataFrame:
     """For each query (vec_id, v) its ``top`` nearest other entries found: query_id, rank, vec_id, score."""
     ship(spark)
-    candidates = max(least, int(share * sum(books.counts.values())) + 1)
-    salts = {c: -(-n // SALT_ROWS) for c, n in books.counts.items()}
-    sent = spark.sparkContext.broadcast((books, salts))
-
-    def visit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, salts = sent.value
-        for batch in it:
-            for k in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(k, QUERIES)
-                ids, v = part.column(0).to_numpy().astype("<i8"), _matrix(part.column(1)).astype("<f8")
-                at: dict[int, list[int]] = {}
-                for q, (a, b) in enumerate(zip(*books.distances(v))):
-                    for cell in books.walk(a, b, candidates):
-                        at.setdefault(cell, []).append(q)
-                rows = [(c, s, len(q), ids[q].tobytes(), v[q].tobytes()) for c, q in at.items() for s in range(salts[c])]
-                for m in range(0, len(rows), 500):
-                    yield _pack(rows[m : m + 500], NAMES)
-
-    asked = queries.mapInArrow(visit, PACKED).select("cell", "salt", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = lists.join(asked.hint("shuffle_merge"), ["cell", "salt"]).select("q_ids", "q_vectors", "ids", "vectors")
+    kinds = [{**LISTS, "vectors": books.kind}, {**ASKED, "q_vectors": _kind(queries)}]
+    blocks = asked(spark, books, queries, max(least, int(share * sum(books.counts.values())) + 1))
+    # both sides are read where they lie: nothing is shuffled, and a task streams one side
+    met = lists.hint("shuffle_replicate_nl").crossJoin(blocks).select(*LISTS, *ASKED)
 
     def rerank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(top)
+        best: dict[bytes, Best] = {}
         for batch in it:
             for r in range(batch.num_rows):
-                qi, qv, ci, cv = (batch.column(k)[r].as_buffer() for k in range(4))
-                qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                qv, cv = np.frombuffer(qv, "<f8").reshape(len(qi), -1), np.frombuffer(cv, "<f8").reshape(len(ci), -1)
-                near = _unit(qv) @ _unit(cv).T
-                near[qi[:, None] == ci[None, :]] = -9
-                k = min(top, len(ci))
-                bound = np.partition(near, len(ci) - k, axis=1)[:, len(ci) - k]
-                a, b = np.nonzero((near >= bound[:, None] - 1e-9) & (near > -9))
-                if len(a):
-                    best.add(qi[a], ci[b], cosine(qv[a], cv[b]))
-        q, i, s = best.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+                x = [np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in enumerate(t for names in kinds for t in names.values())]
+                cells, counts, ids, entries, q_ids, q_cells, q_vectors = x
+                own = best.setdefault(q_ids.tobytes(), Best(q_ids.copy(), top))
+                meet(own, q_vectors.reshape(len(q_ids), -1).astype(np.float64), q_cells.reshape(len(q_ids), -1), (cells, counts, ids, entries.reshape(len(cells), -1).astype(np.float64)))
+        for x in best.values():
+            yield x.rows()
 
     # each task gives ``top`` entries of a query at most
     best = met.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, top).alias("best"))

@@ -70,6 +70,32 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark, *ann.build(spark, none), none).count() == 0
 
 
+def test_searches_send_queries_once(spark):
+    """A query is sent once, not to each of its cells; many copies are found by their smallest ids."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(3000, 16)).astype(np.float32)
+    v[::3] = v[0]
+    given = rows(spark, [(i, [float(x) for x in v[i]]) for i in range(3000)], "vec_id long, embedding array<float>")
+    valid = ann.valid(given)
+    books, lists = ann.build(spark, valid, centroids=32)
+    queries = valid.where("vec_id % 50 = 0")
+    sent = ann.asked(spark, books, queries, 1650).selectExpr("sum(length(q_ids) + length(q_cells) + length(q_vectors)) as n").first().n
+    assert sent <= 60 * (8 + 32 * 32 // 8 + 16 * 4)
+    held = lists.selectExpr("sum(length(ids)) as ids", "sum(length(vectors)) as vectors").first()
+    assert held.ids == 3000 * 8 and held.vectors <= 2100 * 16 * 4
+    got = {}
+    for x in ann.search(spark, books, lists, queries, share=0.55, least=300).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert set(got) == set(range(0, 3000, 50)) and [i for i, _ in got[0]] == [3, 6, 9, 12, 15] and [i for i, _ in got[150]] == [0, 3, 6, 9, 12]
+    u = v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    found = 0
+    for q, hits in got.items():
+        cos = u @ u[q]
+        cos[q] = -9
+        found += sum(s >= np.sort(cos)[-5] - 1e-6 for _, s in hits)
+    assert found >= 0.9 * 5 * len(got)
+
+
 PAGES = "page_id long, url string, html string"
 
 
