@@ -6,7 +6,7 @@ the pair of its centroids. A query walks through pairs in order of the summed
 distance with a heap until their entries reach ``share`` of all, and ``least`` at least; the
 entries of these cells are reranked by the exact cosine in double precision.
 A query is sent with a bit for each cell and once, in blocks of ``QUERIES``, to meet blocks of
-``BLOCK`` entries in cell order; a task holds one pair of blocks at a time, and the best so far.
+about ``BLOCK`` bytes of entries in cell order; a task holds one pair of blocks at a time, and the best so far.
 Vectors without clusters, as here, have their neighbours in far cells: a tenth of
 the entries then gives half of the true neighbours, a half of them over 0.9, so
 the share is a parameter to lower where vectors cluster.
@@ -34,7 +34,7 @@ from llm.common import drop, partitions, ship, table, written
 SAMPLE, SHARE, LEAST, TOP = 16_000, 0.55, 4000, 5
 #: Entries of a cell on average, and the most centroids of a half.
 CELL, CENTROIDS_MOST = 12, 64
-BLOCK, SALT_ROWS, QUERIES = 2048, 8192, 1024
+BLOCK, SALT_ROWS, QUERIES = 1 << 20, 8192, 1024
 #: Of each vector of a block its cell and number of ids; the ids, ascending for each vector; the vectors.
 LISTS = {"cells": "<i4", "counts": "<i4", "ids": "<i8", "vectors": None}
 ASKED = {"q_ids": "<i8", "q_cells": "u1", "q_vectors": None}
@@ -145,13 +145,20 @@ def build(spark: SparkSession, rows: DataFrame, centroids: int | None = None, sa
     placed = placed.withColumn("salt", F.pmod(F.hash("vec_id"), _salts(books)).cast("int"))
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in it:
-            for k in range(0, batch.num_rows, BLOCK):
-                ids, v, cell = (batch.column(c).slice(k, BLOCK) for c in range(3))
+            for k in range(0, batch.num_rows, 2048):
+                ids, v, cell = (batch.column(c).slice(k, 2048) for c in range(3))
                 ids, v, cell = ids.to_numpy(), _matrix(v), cell.to_numpy()
                 first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1) | (cell[1:] != cell[:-1])]))
                 counts = np.diff(np.concatenate([first, [len(ids)]]))
-                yield _pack([(cell[first].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), v[first].astype(kind).tobytes())], LISTS)
+                held.append((cell[first].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), v[first].astype(kind).tobytes()))
+                n += sum(map(len, held[-1]))
+                if n >= BLOCK:
+                    yield _pack([tuple(map(b"".join, zip(*held)))], LISTS)
+                    held, n = [], 0
+        if held:
+            yield _pack([tuple(map(b"".join, zip(*held)))], LISTS)
 
     # copies of a vector follow each other, by id
     packed = placed.repartition("cell", "salt").sortWithinPartitions("cell", "v", "vec_id").select("vec_id", "v", "cell").mapInArrow(pack, _binaries(LISTS))
